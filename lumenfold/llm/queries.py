@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, media, token_files, warc
+from . import byte_bpe, decontaminate, html_text, media, ngram_join, pii, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_token_files": token_files.op2_token_files,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_pii": pii.op5_pii,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_html_text": html_text.op8_html_text,
     "op9_media": media.op9_media,
 }
 
