@@ -10,6 +10,7 @@ empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -23,7 +24,7 @@ MAGIC = b"LFH1"
 LIMIT = 18  # longest code, bits
 STEP = 256  # ids between checkpoints
 BLOCK_IDS = 1 << 19
-CACHE = 300_000  # chunks in one of the memo's two generations, per worker
+CACHE = 500_000  # chunks in one of the memo's two generations, per worker
 END_ID = 2
 
 
@@ -138,6 +139,9 @@ def read_block(source, table) -> tuple[list, np.ndarray, np.ndarray] | None:
 
 # ---- encoding texts with the tokenizers library ----
 
+#: A chunk of words and closing marks; a piece boundary lies between each two groups.
+PARTS = re.compile(r"([^\W\d_]+)([.,;:!?]+)?(?:(\n)([^\W\d_]+)([.,;:!?]+)?)?")
+
 
 class ChunkEncoder:
     """Library encodings of whole texts, assembled from memoised chunks.
@@ -154,19 +158,36 @@ class ChunkEncoder:
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.lib.get_vocab_size()
         self.opens = np.array([(self.lib.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.known = common.Memo(lambda x: self.library(" " + x), CACHE, 48)
+        self.line = self.lib.encode("\n", add_special_tokens=False).ids[0]
+        self.known = common.Memo(lambda x: self.library(" " + x), CACHE, 48)  # of chunks, with their space
+        self.bare = common.Memo(self.library, CACHE // 4, 48)  # of pieces without a space before them
 
     def library(self, text: str) -> bytes:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
 
     def learn(self, new: list[str]) -> None:
-        """Memoise chunks by one library call: in their ids, those that open with a space start a chunk."""
-        ids = np.frombuffer(self.library(" " + " ".join(new)), np.uint16)
-        begin = np.flatnonzero(self.opens[ids]).tolist()
-        if len(begin) == len(new):
-            raw = ids.tobytes()
-            for x, a, b in zip(new, begin, [*begin[1:], len(ids)]):
-                self.known.keep(x, raw[2 * a : 2 * b])
+        """Memoise chunks. Words seen before with other closing marks aren't encoded again; the rest go through the
+        library in one call, whose ids part where one opens with a space, or at line ends."""
+        known, bare = self.known, self.bare
+        parts = [(x, PARTS.fullmatch(x)) for x in new]
+        spaced = [w for w in {m[1] if m else x for x, m in parts} if w not in known and w not in known.old]
+        if len(spaced) > 2:
+            ids = np.frombuffer(self.library(" " + " ".join(spaced)), np.uint16)
+            self.split(known, spaced, ids, np.flatnonzero(self.opens[ids]), 0)
+        lines = [w for w in {m[4] for _, m in parts if m and m[4]} if w not in bare and w not in bare.old]
+        if len(lines) > 2:
+            ids = np.frombuffer(self.library("\n" + "\n".join(lines)), np.uint16)
+            self.split(bare, lines, ids, np.flatnonzero(ids == self.line), 1)
+        for x, m in parts:
+            if m and m[1] != x:
+                known.keep(x, known[m[1]] + b"".join(bare[p] for p in m.groups()[1:] if p))
+
+    @staticmethod
+    def split(memo: common.Memo, keys: list[str], ids: np.ndarray, begin: np.ndarray, skip: int) -> None:
+        if len(begin) == len(keys):
+            raw, at = ids.tobytes(), begin.tolist()
+            for x, a, b in zip(keys, at, [*at[1:], len(ids)]):
+                memo.keep(x, raw[2 * (a + skip) : 2 * b])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit integers."""
