@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, html_text, media, ngram_join, pii, token_files, toxicity, warc
+from . import byte_bpe, decontaminate, html_text, media, ngram_join, pii, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_html_text": html_text.op8_html_text,
     "op9_media": media.op9_media,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
