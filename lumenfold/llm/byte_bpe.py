@@ -233,32 +233,46 @@ def groups(texts: list[str | None], most: int = CHUNK):
         yield held
 
 
-def encode_column(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """docs' columns `keep` with n_tokens, ids (decimal, joined by commas), the text decoded from them, and optionally the
-    code-point offset and id count of each piece."""
+def encode_column(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """docs' columns `keep` with n_tokens, ids, offsets (the code point at which each piece starts), piece_ids (the number
+    of ids of each piece) and decoded (the bytes that the ids decode to)."""
     common.small_batches(docs.sparkSession)
-    extra = ", offsets array<int>, piece_ids array<int>" if offsets else ""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         code = coder(path)
+        numbers = pa.list_(pa.int32())
         for batch in batches:
             joined, decoded, at, per = [], [], [], []
             for texts in groups(batch.column(len(keep)).to_pylist()):
                 for begin, ids in code.encode(texts):
                     joined.append(",".join(ids))
                     decoded.append(code.decode(joined[-1]))
-                    if offsets:
-                        at.append(begin)
-                        per.append([x.count(",") + 1 for x in ids])
-            cols = [pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.binary())]
-            if offsets:
-                cols += [pa.array(at, pa.list_(pa.int32())), pa.array(per, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, "n_tokens", "ids", "decoded", *["offsets", "piece_ids"][: 2 * offsets]])
+                    at.append(begin)
+                    per.append([x.count(",") + 1 for x in ids])
+            parts = pc.split_pattern(pa.array([x or None for x in joined], pa.string()), ",")
+            ids = pc.fill_null(parts.cast(numbers), pa.scalar([], numbers))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()), ids, pa.array(at, numbers), pa.array(per, numbers), pa.array(decoded, pa.binary())], names=[*keep, "n_tokens", "ids", "offsets", "piece_ids", "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, n_tokens long, ids string, decoded binary{extra}")
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, offsets array<int>, piece_ids array<int>, decoded binary")
+
+
+def decode_column(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
+    """encoded's columns `keep` with the bytes that ids_col decodes to; null ids decode to nothing."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        table = {int(k): v for k, v in coder(path).bytes_of.items()}
+        for batch in batches:
+            out = [b"".join(map(table.__getitem__, ids or ())) for ids in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "decoded"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)
+    return encoded.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(run, f"{fields}, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:

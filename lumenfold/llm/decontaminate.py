@@ -106,13 +106,12 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int = M
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """docs with n_words, word_ranges, spans (characters) and items (sorted as strings). Every row and column stays."""
+    """docs with n_words, word_ranges, spans (characters) and items (sorted as strings). Every row stays, and every column
+    but those of these four names."""
     spark = docs.sparkSession
     common.small_batches(spark)
+    docs = docs.drop("n_words", "word_ranges", "spans", "items")
     fields = docs.schema.fields
-    clash = {"n_words", "word_ranges", "spans", "items"} & {f.name for f in fields}
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
     pairs = "array<struct<first:int,stop:int>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", n_words long, word_ranges {pairs}, spans {pairs}, items array<string>"
     at = [f.name for f in fields].index(text_col)

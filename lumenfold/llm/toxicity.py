@@ -294,8 +294,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
 
 
 def score(docs: DataFrame, learned, text_col: str = "text", restored: bool = False) -> DataFrame:
-    """docs with score, n_restored and optionally the restored text; every row and column stays."""
+    """docs with score, n_restored and optionally `restored`, the restored text. Every row stays, and every column but
+    those of these names."""
     spark = docs.sparkSession
+    docs = docs.drop("score", "n_restored", "restored")
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(learned)
     names = docs.columns
