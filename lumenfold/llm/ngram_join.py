@@ -2,9 +2,11 @@
 
 Documents are sets of hashed word shingles. Equal sets collapse into one. Similar sets are partitioned into groups by
 the shared prefix token that most sets have; the matrix says which tokens occur in which group's prefixes, so a set
-finds the groups that may hold a partner by joining its prefix tokens with the matrix, never with other sets. Inside a
-group (in chunks of bounded size) the union of the members' tokens bounds what any member can share with a query set,
-and only a chunk whose bound reaches the threshold is opened.
+finds the groups that may hold a partner by joining its prefix tokens with the matrix, never with other sets. A group (in
+chunks of bounded size) keeps its token union as counts over BUCKETS hash buckets of tokens, with each member's counts;
+bucket by bucket, what a set can share with a member is at most the smaller count. Only sets whose bound reaches the
+threshold with some member, and the members so reached, are opened: their tokens are read and counted exactly, again
+behind the bound of the opened members' exact union.
 
 Prefix rule: of a set of n tokens, a partner shares one of the first n - ceil(0.85 n) + 1 in any fixed order of tokens.
 The order puts tokens that are frequent within tasks last, then goes by hash; any order gives the same links.
@@ -32,6 +34,7 @@ LOCAL_TIMES = 3  # occurrences within a task that make a token a candidate for "
 FREQUENT = 48  # sets, as counted within tasks, that make a token frequent
 MOST_FREQUENT = 1 << 20  # frequent tokens sent to the workers (8 MB), the most frequent ones
 CHUNK_TOKENS = 1 << 21  # tokens of a chunk's members, about
+BUCKETS = 256  # of the matrix's counts
 BROADCAST_ROWS = 1 << 19  # assignments that may be broadcast (about 16 MB)
 
 
@@ -58,6 +61,99 @@ def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def bucket_counts(tokens: np.ndarray) -> np.ndarray:
+    """Tokens in each bucket, at most 65,535."""
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 0xFFFF).astype(np.uint16)
+
+
+# ---- the bound ----
+
+
+class Bounds:
+    """A chunk's rows of the token-group matrix: its union's counts and its members'."""
+
+    def __init__(self, ids: list[int], sizes: list[int], counts: list[bytes], per_cent: int):
+        self.ids, self.per_cent = np.array(ids), per_cent
+        self.sizes = np.array(sizes)
+        self.counts = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, BUCKETS)
+        self.full = (self.counts == 0xFFFF).any(1)
+        self.union = self.counts.max(0)
+        self.open = np.zeros(len(ids), bool)
+
+    def may(self, counts: np.ndarray, size: int) -> np.ndarray:
+        """Members that may link with a set of these bucket counts."""
+        if (counts == 0xFFFF).any():
+            return np.ones(len(self.sizes), bool)
+        shared = np.minimum(self.counts, counts).sum(1, dtype=np.int64)
+        return ((100 + self.per_cent) * shared >= self.per_cent * (self.sizes + size)) | self.full
+
+    def members(self) -> None:
+        """Open the members that may link with another one."""
+        for i in range(len(self.ids)):
+            if not self.open[i]:
+                near = self.may(self.counts[i], self.sizes[i])
+                near[i] = False
+                if near.any():
+                    self.open |= near
+                    self.open[i] = True
+
+    def visit(self, raw: bytes, size: int) -> bool:
+        """Does the bound admit this set? Opens the members that it may link with."""
+        counts = np.frombuffer(raw, np.uint16)
+        if np.minimum(self.union, counts).sum(dtype=np.int64) < need(size, self.per_cent) and not self.full.any():
+            return False
+        near = self.may(counts, size)
+        self.open |= near
+        return bool(near.any())
+
+
+def admitted(rows: DataFrame, per_cent: int) -> DataFrame:
+    """The (id, place, visit) that the bounds admit, from rows (place, visit, id, n, counts)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        place, ids, sizes, counts, chunk = None, [], [], [], None
+        out: list[tuple[int, int, int]] = []
+
+        def close():
+            nonlocal chunk
+            if chunk is None and ids:
+                chunk = Bounds(ids, sizes, counts, per_cent)
+                chunk.members()
+
+        def leave():
+            close()
+            if chunk is not None:
+                out.extend((i, place, 0) for i in chunk.ids[chunk.open].tolist())
+
+        def batch_of(found):
+            cols = list(zip(*found)) if found else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["id", "place", "visit"])
+
+        for batch in batches:
+            for p, visit, doc, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if p != place:
+                    leave()
+                    place, ids, sizes, counts, chunk = p, [], [], [], None
+                if visit:
+                    close()
+                    if chunk is not None and chunk.visit(raw, n):
+                        out.append((doc, p, 1))
+                else:
+                    ids.append(doc)
+                    sizes.append(n)
+                    counts.append(raw)
+            if len(out) > 1 << 16:
+                yield batch_of(out)
+                out = []
+        leave()
+        yield batch_of(out)
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "place").sortWithinPartitions("place", "visit", "id").mapInArrow(run, "id long, place long, visit int")
+
+
 # ---- in a chunk ----
 
 
@@ -220,19 +316,20 @@ def frequent_tokens(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, frequent, shingle: int, per_cent: int) -> DataFrame:
-    """Rows (doc_id, n, key, prefix) of every document; prefix tokens in the order's first places."""
+    """Rows (doc_id, n, key, prefix, counts) of every document; prefix tokens in the order's first places."""
 
     def run(batches):
         import pyarrow as pa
 
         late = frequent.value
         for batch in batches:
-            n, keys, firsts = [], [], []
+            n, keys, firsts, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = token_set(text, shingle)
                 size = len(tokens)
                 n.append(size)
                 keys.append(set_key(tokens))
+                counts.append(bucket_counts(tokens).tobytes())
                 if size and len(late):
                     at = np.searchsorted(late, tokens)
                     at[at == len(late)] = 0
@@ -240,9 +337,9 @@ def prefixes(docs: DataFrame, frequent, shingle: int, per_cent: int) -> DataFram
                     if hit.any():
                         tokens = np.concatenate([tokens[~hit], tokens[hit]])
                 firsts.append(tokens[: size - need(size, per_cent) + 1].view(np.int64) if size else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "n", "key", "prefix", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, counts binary")
 
 
 def sets_of(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
@@ -269,12 +366,14 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, shingle))  # MOST_FREQUENT numbers at most
     each = common.spool(prefixes(docs, frequent, shingle, per_cent), "join-prefixes")
     # Equal sets collapse: the smallest id stands for them. Their prefixes are equal, so any will do.
-    sets = each.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = each.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"))
     sets = common.spool(sets, "join-sets")
+    each = each.drop("prefix", "counts")
 
     tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
     common_tokens = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = common.spool(tokens.join(common_tokens, "token"), "join-shared")  # (token, id, n, df): tokens of two sets or more
+    common.free_shuffles(spark)
     # Groups: a set's home is its shared token that most sets have.
     home = shared.groupBy("id").agg(F.max(F.struct("df", "token")).getField("token").alias("home"), F.max("n").alias("n"))
     home = common.spool(home, "join-home")
@@ -292,8 +391,14 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alive = groups.where("size > 1").select("home").union(visits.select("home")).distinct()
     inside = members.select("id", "home", "chunk").union(pivots).distinct().join(alive, "home")
     places = common.spool(inside.select("id", place.alias("place"), F.lit(0).alias("visit")).union(going.select("id", place.alias("place"), F.lit(1).alias("visit"))), "join-places")
-    edges = common.spool(open_chunks(sets_of(docs, places, shingle), per_cent), "join-edges")
+    bounds = sets.select("id", "n", "counts")
+
+    def edges_at(where: DataFrame) -> DataFrame:
+        """Links found at the places that the bounds admit."""
+        kept = common.spool(admitted(where.join(bounds, "id").select("place", "visit", "id", "n", "counts"), per_cent), "join-admitted")
+        return common.spool(open_chunks(sets_of(docs, kept, shingle), per_cent), "join-edges")
 
+    edges = edges_at(places)
     if groups.where("chunks > 1").limit(1).count():
         # Members of a split group that its pivot's component doesn't hold visit the other chunks.
         reach = common.connected(spark, edges, "join-first")
@@ -301,7 +406,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lead = split.where("id = pivot").select("home", F.col("component").alias("lead"))
         apart = split.join(lead, "home").where("component <> lead").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
         again = members.where("chunks > 1").select("id", place.alias("place"), F.lit(0).alias("visit")).union(apart.select("id", F.xxhash64("home", "other").alias("place"), F.lit(1).alias("visit")))
-        edges = edges.union(common.spool(open_chunks(sets_of(docs, common.spool(again, "join-again"), shingle), per_cent), "join-edges"))
+        edges = edges.union(edges_at(common.spool(again, "join-again")))
 
     reach = common.spool(common.connected(spark, edges, "join"), "join-reach")
     classes = sets.select("key", "id").join(reach, "id", "left").select("key", F.coalesce("component", "id").alias("class"))
