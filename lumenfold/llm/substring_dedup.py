@@ -10,8 +10,9 @@ Consecutive windows with one anchor form a run; a run's bytes are its context.
    suffix array, built by linear grouping in lockstep over many anchors (suffix_groups). Neighbours in the array that
    share `size` bytes are repeated. Windows whose hash is alone under its anchor are left out before, and of equal
    stretches two copies are enough.
-3. An anchor with more than `split` contexts isn't gathered: its windows are counted one by one, each window being a
-   group of its own, by (anchor, window hash).
+3. An anchor with more than `split` contexts isn't gathered. Its runs are cut into blocks of BLOCK starts, aligned at the
+   anchor. A block that occurs twice is repeated as a whole; a block whose core (the bytes that all its windows share)
+   occurs once has nothing to compare; the windows of the others are counted one by one, each a group of its own.
 
 All counts are aggregated before they are shuffled. Matches are judged on the input; they never cross documents.
 
@@ -30,6 +31,7 @@ from .suffix_groups import ranges, suffix_arrays
 
 SIZE, GRAM = 200, 24
 SPLIT = 256  # different contexts that an anchor's suffix array may have
+BLOCK = 16  # starts in a block of a split anchor
 BATCH_SYMBOLS = 1 << 20  # symbols that suffix arrays are built over at once
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -213,36 +215,64 @@ def by_suffix_arrays(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, f"anchor long, context long, spans {SPANS}")
 
 
-def by_windows(windows: DataFrame, size: int) -> DataFrame:
-    """Rows (anchor, context, spans) from (anchor, context, n, hashes): windows counted one by one."""
-    each = windows.select("anchor", "context", "n", F.posexplode("hashes").alias("at", "hash"))
-    again = each.groupBy("anchor", "hash").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "hash")
-    hits = each.join(again, ["anchor", "hash"]).groupBy("anchor", "context").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    return hits.select("anchor", "context", F.transform("at", lambda s: F.struct(s.cast("int").alias("a"), (s + size).cast("int").alias("b"))).alias("spans"))
+BLOCKS = "array<struct<b:int,core:long,block:long,at:int,hashes:array<long>>>"
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, size: int, split: int) -> DataFrame:
-    """Bytes, or window hashes for anchors beyond `split`, of the wanted runs (id, key, runs: array of structs)."""
+def blocks_of(sums: np.ndarray, grams: np.ndarray, windows: np.ndarray, anchor: int, first: int, last: int, size: int) -> list[dict]:
+    """The blocks of a run: number, core hash, hash, offset of the first start in the run, hashes of its windows."""
+    p = first + int(np.flatnonzero(grams[first : first + size] == np.int64(anchor).view(np.uint64))[0])
+    low = first
+    out = []
+    while low <= last:
+        b = (low - p) // BLOCK
+        high = min(last, p + BLOCK * b + BLOCK - 1)
+        base = p + BLOCK * b
+        core, block = rolling.substrings(sums, np.array([base + BLOCK - 1, low]), np.array([base + size, high + size])).view(np.int64).tolist()
+        out.append({"b": b, "core": core, "block": block ^ (low - base), "at": low - first, "hashes": windows[low : high + 1]})
+        low = high + 1
+    return out
+
+
+def by_windows(runs: DataFrame, size: int) -> DataFrame:
+    """Rows (anchor, context, spans) from (anchor, context, n, blocks) of anchors that have too many contexts to gather."""
+    each = runs.select("anchor", "context", F.col("n").alias("times"), F.inline("blocks"))
+    kinds = each.groupBy("anchor", "b", "core", "block").agg(F.sum("times").alias("times"), F.first("hashes").alias("hashes"))
+    cores = kinds.groupBy("anchor", "b", "core").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").select("anchor", "b", "core", "kinds")
+    kinds = common.spool(kinds.join(cores, ["anchor", "b", "core"]), "blocks")
+    whole = kinds.where("times > 1").select("anchor", "b", "core", "block", F.array(F.struct(F.lit(0).alias("a"), (F.size("hashes") - 1 + size).alias("b"))).alias("spans"))
+    windows = kinds.where("kinds > 1").select("anchor", "b", "core", "block", "times", F.posexplode("hashes").alias("i", "hash"))
+    again = windows.groupBy("anchor", "b", "core", "hash").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
+    hits = windows.where("times = 1").join(again, ["anchor", "b", "core", "hash"]).groupBy("anchor", "b", "core", "block").agg(F.collect_list("i").alias("i"))
+    hits = hits.select("anchor", "b", "core", "block", F.transform("i", lambda s: F.struct(s.alias("a"), (s + size).alias("b"))).alias("spans"))
+    found = each.select("anchor", "context", "b", "core", "block", "at").join(whole.union(hits), ["anchor", "b", "core", "block"])
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
+    return found.select("anchor", "context", moved.alias("spans")).groupBy("anchor", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def fetch(docs: DataFrame, wanted: DataFrame, size: int, gram: int, split: int) -> DataFrame:
+    """Bytes, or blocks for anchors beyond `split`, of the wanted runs (id, key, runs: array of structs)."""
 
     def run(batches):
         import pyarrow as pa
 
+        block = pa.list_(pa.struct([("b", pa.int32()), ("core", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("hashes", pa.list_(pa.int64()))]))
         for batch in batches:
             rows = []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
-                hashes = None
+                sums = None
                 for r in own:
                     if r["contexts"] > split:
-                        if hashes is None:
-                            hashes = rolling.windows(rolling.prefix_sums(raw), size).view(np.int64)
-                        rows.append((r["anchor"], r["context"], r["n"], None, hashes[r["first"] : r["last"] + 1]))
+                        if sums is None:
+                            sums = rolling.prefix_sums(raw)
+                            grams, hashes = rolling.windows(sums, gram), rolling.windows(sums, size).view(np.int64)
+                        rows.append((r["anchor"], r["context"], r["n"], None, blocks_of(sums, grams, hashes, r["anchor"], r["first"], r["last"], size)))
                     else:
                         rows.append((r["anchor"], r["context"], r["n"], raw[r["first"] : r["last"] + size], None))
             cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], names=["anchor", "context", "n", "bytes", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], block)], names=["anchor", "context", "n", "bytes", "blocks"])
 
-    return docs.join(wanted, ["id", "key"]).select("text", "runs").mapInArrow(run, "anchor long, context long, n long, bytes binary, hashes array<long>")
+    return docs.join(wanted, ["id", "key"]).select("text", "runs").mapInArrow(run, f"anchor long, context long, n long, bytes binary, blocks {BLOCKS}")
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
@@ -259,9 +289,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: i
     several = places.where("contexts > 1")
     one_each = several.groupBy("anchor", "context").agg(F.min(F.struct("id", "key", "first", "last", "n", "contexts")).alias("r"))
     wanted = one_each.select("r.id", "r.key", F.struct("anchor", "context", "r.first", "r.last", "r.n", "r.contexts").alias("run")).groupBy("id", "key").agg(F.collect_list("run").alias("runs"))
-    got = common.spool(fetch(docs, wanted, size, split), "contexts")
+    got = common.spool(fetch(docs, wanted, size, gram, split), "contexts")
     common.free_shuffles(spark)
-    parts = by_suffix_arrays(got.where("bytes is not null").select("anchor", "context", "bytes"), size).union(by_windows(got.where("hashes is not null").select("anchor", "context", "n", "hashes"), size))
+    parts = by_suffix_arrays(got.where("bytes is not null").select("anchor", "context", "bytes"), size).union(by_windows(got.where("blocks is not null").select("anchor", "context", "n", "blocks"), size))
     parts = common.spool(parts, "parts")
     common.drop_spool(got)
     common.free_shuffles(spark)
