@@ -83,8 +83,12 @@ class Lowering:
             p, q = scalar.kind_of(f.dataType), scalar.kind_of(g.dataType)
             kind = p if p == q or q == "null" else q if p == "null" else "num" if {p, q} <= {"int", "num"} else "text"
             cast = (lambda c, k, t: scalar.text(Typed(c, k)).col if t == "text" else c.cast(scalar.SQL_TYPE[t]))
-            x.append((quoted(f.name) if p == q == "json" else cast(quoted(f.name), p, kind)).alias(f.name))
-            y.append((quoted(g.name) if p == q == "json" else cast(quoted(g.name), q, kind)).alias(f.name))
+            if p == q:
+                x.append(quoted(f.name))
+                y.append(quoted(g.name).alias(f.name))
+                continue
+            x.append(cast(quoted(f.name), p, kind).alias(f.name))
+            y.append(cast(quoted(g.name), q, kind).alias(f.name))
         return a.select(*x), b.select(*y)
 
     def block(self, q: Query, ctes: dict[str, DataFrame]) -> DataFrame:
