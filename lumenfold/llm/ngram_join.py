@@ -8,8 +8,9 @@ bucket by bucket, what a set can share with a member is at most the smaller coun
 threshold with some member, and the members so reached, are opened: their tokens are read and counted exactly, again
 behind the bound of the opened members' exact union.
 
-Prefix rule: of a set of n tokens, a partner shares one of the first n - ceil(0.85 n) + 1 in any fixed order of tokens.
-The order puts tokens that are frequent within tasks last, then goes by hash; any order gives the same links.
+Prefix rule, in any fixed order of tokens: of a set of n tokens, a partner shares one of the first n - ceil(0.85 n) + 1;
+if the partner isn't smaller, one of the first n - ceil(2 * 0.85 / 1.85 n) + 1, and only these enter the matrix. So the
+larger set of a pair finds the smaller one's group. The order puts tokens that are frequent within tasks last, then goes by hash; any order gives the same links.
 
 Within an opened chunk, sets are linked to pivots first, and only sets outside the largest component are counted
 against all members: sets in one component need no further links. A group of several chunks has its first member in
@@ -365,32 +366,40 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, shingle))  # MOST_FREQUENT numbers at most
     each = common.spool(prefixes(docs, frequent, shingle, per_cent), "join-prefixes")
-    # Equal sets collapse: the smallest id stands for them. Their prefixes are equal, so any will do.
-    sets = each.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"))
+    # Equal sets collapse: the smallest id stands for them. Only the others' ids are joined back to drop their rows.
+    named = each.where("n > 0 and doc_id is not null")
+    same = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")).where("k > 1").select("key", "id")
+    spare = common.spool(named.select("doc_id", "key").join(same, "key").where("doc_id <> id").select("doc_id", "key").distinct(), "join-spare")
+    sets = named.join(spare, ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("id"), "key", "n", "prefix", "counts")
+    repeats = each.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").limit(1).count()
+    if repeats:
+        sets = sets.dropDuplicates(["id", "key"])
     sets = common.spool(sets, "join-sets")
+
     each = each.drop("prefix", "counts")
 
-    tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
-    common_tokens = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = common.spool(tokens.join(common_tokens, "token"), "join-shared")  # (token, id, n, df): tokens of two sets or more
+    first = F.col("n") - F.ceil(F.lit(2 * per_cent) * F.col("n") / (100 + per_cent)) + 1
+    tokens = sets.select("id", first.alias("first"), F.posexplode("prefix").alias("at", "token")).select("token", "id", (F.col("at") < F.col("first")).alias("index"))
+    common_tokens = tokens.groupBy("token").agg(F.count("*").alias("df"), F.count_if("index").alias("di")).where("df > 1 and di > 0").select("token", "df")
+    shared = common.spool(tokens.join(common_tokens, "token"), "join-shared")  # (token, id, index, df): tokens that may find a partner
     common.free_shuffles(spark)
-    # Groups: a set's home is its shared token that most sets have.
-    home = shared.groupBy("id").agg(F.max(F.struct("df", "token")).getField("token").alias("home"), F.max("n").alias("n"))
-    home = common.spool(home, "join-home")
+    # Groups: a set's home is its shared token in the matrix that most sets have.
+    home = shared.where("index").groupBy("id").agg(F.max(F.struct("df", "token")).getField("token").alias("home"))
+    home = common.spool(home.join(sets.select("id", "n"), "id"), "join-home")
     # The matrix: tokens by groups, with the sizes of the members that bring the token.
-    matrix = shared.join(home.select("id", "home"), "id").groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    own = shared.join(home.select("id", F.col("home").alias("own")), "id").select("token", "id", "n", "own")
-    visits = own.join(matrix, "token").where(F.col("home") < F.col("own")).where((100 * F.col("n") >= per_cent * F.col("least")) & (100 * F.col("most") >= per_cent * F.col("n"))).select("id", "home").distinct()
+    matrix = shared.where("index").select("token", "id").join(home, "id").groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    going = shared.select("token", "id").join(sets.select("id", "n"), "id").join(matrix, "token").where((F.col("least") <= F.col("n")) & (100 * F.col("most") >= per_cent * F.col("n"))).select("id", "home").distinct()
+    visits = common.spool(going.join(home.select("id", "home"), ["id", "home"], "left_anti"), "join-visits")
 
     groups = common.spool(home.groupBy("home").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("chunks"), F.min("id").alias("pivot"), F.count("*").alias("size")), "join-groups")
     place: Column = F.xxhash64("home", "chunk")
     members = home.join(groups, "home").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     pivots = groups.where("chunks > 1").select(F.col("pivot").alias("id"), "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    going = visits.join(groups.select("home", "chunks"), "home").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    guests = visits.join(groups.select("home", "chunks"), "home").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # A group of one member without visitors has nothing to open.
     alive = groups.where("size > 1").select("home").union(visits.select("home")).distinct()
     inside = members.select("id", "home", "chunk").union(pivots).distinct().join(alive, "home")
-    places = common.spool(inside.select("id", place.alias("place"), F.lit(0).alias("visit")).union(going.select("id", place.alias("place"), F.lit(1).alias("visit"))), "join-places")
+    places = common.spool(inside.select("id", place.alias("place"), F.lit(0).alias("visit")).union(guests.select("id", place.alias("place"), F.lit(1).alias("visit"))), "join-places")
     bounds = sets.select("id", "n", "counts")
 
     def edges_at(where: DataFrame) -> DataFrame:
@@ -412,7 +421,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.select("key", "id").join(reach, "id", "left").select("key", F.coalesce("component", "id").alias("class"))
     # Rows that share a doc_id are one vertex: a doc_id's classes are its different sets' classes, all linked.
     ids = each.groupBy("doc_id").agg(F.countDistinct("key").alias("k")).where("k > 1 and doc_id is not null").select("doc_id")
-    if ids.limit(1).count():
+    if repeats and ids.limit(1).count():
         ties = each.where("n > 0").join(ids, "doc_id").select("doc_id", "key").join(classes, "key")
         merged = common.connected(spark, ties.select(F.col("doc_id").alias("src"), F.col("class").alias("dst")), "join-ids")
         classes = classes.join(merged.withColumnRenamed("id", "class").withColumnRenamed("component", "least"), "class", "left").select("key", F.coalesce("least", "class").alias("class"))
