@@ -215,10 +215,7 @@ def by_suffix_arrays(contexts: DataFrame, size: int) -> DataFrame:
     return contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, f"anchor long, context long, spans {SPANS}")
 
 
-BLOCKS = "array<struct<b:int,core:long,block:long,at:int,hashes:array<long>>>"
-
-
-def blocks_of(sums: np.ndarray, grams: np.ndarray, windows: np.ndarray, anchor: int, first: int, last: int, size: int) -> list[dict]:
+def blocks_of(sums: np.ndarray, grams: np.ndarray, windows: np.ndarray, anchor: int, first: int, last: int, size: int) -> list[tuple]:
     """The blocks of a run: number, core hash, hash, offset of the first start in the run, hashes of its windows."""
     p = first + int(np.flatnonzero(grams[first : first + size] == np.int64(anchor).view(np.uint64))[0])
     low = first
@@ -228,14 +225,14 @@ def blocks_of(sums: np.ndarray, grams: np.ndarray, windows: np.ndarray, anchor:
         high = min(last, p + BLOCK * b + BLOCK - 1)
         base = p + BLOCK * b
         core, block = rolling.substrings(sums, np.array([base + BLOCK - 1, low]), np.array([base + size, high + size])).view(np.int64).tolist()
-        out.append({"b": b, "core": core, "block": block ^ (low - base), "at": low - first, "hashes": windows[low : high + 1]})
+        out.append((b, core, block ^ (low - base), low - first, windows[low : high + 1]))
         low = high + 1
     return out
 
 
-def by_windows(runs: DataFrame, size: int) -> DataFrame:
-    """Rows (anchor, context, spans) from (anchor, context, n, blocks) of anchors that have too many contexts to gather."""
-    each = runs.select("anchor", "context", F.col("n").alias("times"), F.inline("blocks"))
+def by_windows(each: DataFrame, size: int) -> DataFrame:
+    """Rows (anchor, context, spans) from the blocks (anchor, context, times, b, core, block, at, hashes) of anchors that
+    have too many contexts to gather."""
     kinds = each.groupBy("anchor", "b", "core", "block").agg(F.sum("times").alias("times"), F.first("hashes").alias("hashes"))
     cores = kinds.groupBy("anchor", "b", "core").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").select("anchor", "b", "core", "kinds")
     kinds = common.spool(kinds.join(cores, ["anchor", "b", "core"]), "blocks")
@@ -250,29 +247,31 @@ def by_windows(runs: DataFrame, size: int) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, size: int, gram: int, split: int) -> DataFrame:
-    """Bytes, or blocks for anchors beyond `split`, of the wanted runs (id, key, runs: array of structs)."""
+    """Of the wanted runs (id, key, runs: array of structs): a row with the bytes, or for anchors beyond `split` a row for
+    each block."""
 
     def run(batches):
         import pyarrow as pa
 
-        block = pa.list_(pa.struct([("b", pa.int32()), ("core", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("hashes", pa.list_(pa.int64()))]))
+        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("times", pa.int64()), ("bytes", pa.binary()), ("b", pa.int32()), ("core", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("hashes", pa.list_(pa.int64()))])
         for batch in batches:
             rows = []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
                 sums = None
                 for r in own:
-                    if r["contexts"] > split:
-                        if sums is None:
-                            sums = rolling.prefix_sums(raw)
-                            grams, hashes = rolling.windows(sums, gram), rolling.windows(sums, size).view(np.int64)
-                        rows.append((r["anchor"], r["context"], r["n"], None, blocks_of(sums, grams, hashes, r["anchor"], r["first"], r["last"], size)))
-                    else:
-                        rows.append((r["anchor"], r["context"], r["n"], raw[r["first"] : r["last"] + size], None))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], block)], names=["anchor", "context", "n", "bytes", "blocks"])
+                    head = (r["anchor"], r["context"], r["n"])
+                    if r["contexts"] <= split:
+                        rows.append((*head, raw[r["first"] : r["last"] + size], None, None, None, None, None))
+                        continue
+                    if sums is None:
+                        sums = rolling.prefix_sums(raw)
+                        grams, hashes = rolling.windows(sums, gram), rolling.windows(sums, size).view(np.int64)
+                    rows += [(*head, None, *x) for x in blocks_of(sums, grams, hashes, r["anchor"], r["first"], r["last"], size)]
+            cols = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return docs.join(wanted, ["id", "key"]).select("text", "runs").mapInArrow(run, f"anchor long, context long, n long, bytes binary, blocks {BLOCKS}")
+    return docs.join(wanted, ["id", "key"]).select("text", "runs").mapInArrow(run, "anchor long, context long, times long, bytes binary, b int, core long, block long, at int, hashes array<long>")
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
@@ -291,7 +290,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: i
     wanted = one_each.select("r.id", "r.key", F.struct("anchor", "context", "r.first", "r.last", "r.n", "r.contexts").alias("run")).groupBy("id", "key").agg(F.collect_list("run").alias("runs"))
     got = common.spool(fetch(docs, wanted, size, gram, split), "contexts")
     common.free_shuffles(spark)
-    parts = by_suffix_arrays(got.where("bytes is not null").select("anchor", "context", "bytes"), size).union(by_windows(got.where("blocks is not null").select("anchor", "context", "n", "blocks"), size))
+    parts = by_suffix_arrays(got.where("bytes is not null").select("anchor", "context", "bytes"), size).union(by_windows(got.where("bytes is null").drop("bytes"), size))
     parts = common.spool(parts, "parts")
     common.drop_spool(got)
     common.free_shuffles(spark)
