@@ -89,7 +89,7 @@ def hll_count(registers: DataFrame, precision: int = 14, by: list[str] = ()) ->
     m = 1 << precision
     alpha = {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
     raw = F.lit(alpha * m * m) / F.col("_sum")
-    out = registers.groupBy(*by).agg(F.count("*").alias("_used"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("_part"))
+    out = registers.groupBy(*by).agg(F.count("*").alias("_used"), F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("_part"))
     out = out.withColumn("_sum", F.col("_part") + (m - F.col("_used")))
     small = (raw <= 2.5 * m) & (F.col("_used") < m)
     return out.select(*by, F.round(F.when(small, m * F.log(m / (m - F.col("_used")))).otherwise(raw)).cast("long").alias("estimate"))
