@@ -210,4 +210,4 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive `pages`, read the archives back, one row per page."""
     rows = with_first(common.table(spark, sf_dir, "pages"), "page_id", "url", "html")
     index = write_bundles(rows, common.shared_dir(spark, "warc"))
-    return read_bundles(spark, index).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "bundle", "frame", "frame_offset")
+    return read_bundles(spark, index).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
