@@ -33,7 +33,7 @@ SHORT, LONG, TAKEN, LAST, RUN = 3, 4, 5, 6, 7
 IDLE, IN_L, IN_N, IN_O, IN_S, AFTER, ONE, TWO = range(8)
 LANE = 128  # code points in a block of the scan
 CHUNK = 1 << 20  # code points scanned at once
-CACHE = 300_000  # pieces in one of the memo's two generations
+CACHE = 150_000  # pieces in one of the memo's two generations
 SHORT_PIECE = 48  # longer pieces aren't remembered; beyond it merging keeps a heap
 
 
@@ -255,6 +255,7 @@ def encode_column(docs: DataFrame, path: str, keep: list[str], text_col: str = "
             parts = pc.split_pattern(pa.array([x or None for x in joined], pa.string()), ",")
             ids = pc.fill_null(parts.cast(numbers), pa.scalar([], numbers))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()), ids, pa.array(at, numbers), pa.array(per, numbers), pa.array(decoded, pa.binary())], names=[*keep, "n_tokens", "ids", "offsets", "piece_ids", "decoded"])
+        code.known.old = {}  # an idle worker keeps one generation
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, offsets array<int>, piece_ids array<int>, decoded binary")
@@ -292,6 +293,7 @@ def digests(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
                     a.append(hashlib.sha256(joined.encode()).hexdigest())
                     b.append(hashlib.sha256(code.decode(joined)).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        code.known.old = {}  # an idle worker keeps one generation
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,7 +29,7 @@ MIN_DOCS = 8  # positive documents a feature needs
 MOST_FEATURES = 256
 MOST_CANDIDATES = 20_000
 PREFIXES = (4, 5, 6)
-CACHE = 200_000  # tokens in one of the memo's two generations
+CACHE = 100_000  # tokens in one of the memo's two generations
 THRESHOLD = 0.3
 
 # ---- the character model ----
