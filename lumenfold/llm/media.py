@@ -193,6 +193,7 @@ def resolve(parsed: DataFrame, facts: DataFrame) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = store(common.table(spark, sf_dir, "documents"), "text", "doc_id")
-    found = resolve(sequences(docs, "html", ["id"]), stored_facts(spark, path))
+    # The facts are written before they are joined: a digest that many documents share can then be split among tasks.
+    found = resolve(sequences(docs, "html", ["id"]), common.spool(stored_facts(spark, path), "media-facts"))
     size = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
     return found.select(F.col("id").alias("doc_id"), size.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -191,7 +191,8 @@ def key_of(spark: SparkSession) -> str:
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None, report: str | None = None) -> DataFrame:
-    """docs with text_col pseudonymised; `report` names an array column of (kind, pseudonym) of the replaced values.
+    """docs with text_col pseudonymised; `report` names an array column of (kind, pseudonym) of the replaced values. Every
+    row stays, and every column but two working ones, `_found` and `_new`.
 
     A map over rows: no shuffle. The text is split at the candidates, and joined again with their pseudonyms.
     """
