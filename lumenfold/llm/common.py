@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..workers import reach
+
 #: Rows in an Arrow batch sent to Python: a batch of long texts stays at tens of megabytes.
 BATCH_ROWS = 256
 
@@ -19,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds (texts can be long)."""
+    """Bound what one Arrow batch holds (texts can be long); see that workers find the package."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -135,21 +138,23 @@ def tokenizer_path(name: str) -> str:
 def connected(spark: SparkSession, edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Smallest vertex reachable from each vertex of `edges` (src, dst long): rows (id, component).
 
-    Alternates large-star and small-star steps; each edge set is written to the shared folder. Vertices of very
-    high degree are aggregated with map-side minima, then joined with skew handling left to AQE.
+    Alternates large-star and small-star steps; each edge set is written to the shared folder. The minima of a step are
+    written too before they are joined back: a join of two plain tables is one that AQE can split at a hub.
     """
     e = spool(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), f"{label}-edges")
     before = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = spool(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = spool(large, f"{label}-large")
+        low = spool(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-low")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = spool(small, f"{label}-edges")
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old, e = e, new
-        drop_spool(old)
+        for old in (e, least, large, low):
+            drop_spool(old)
+        e = new
         if mark == before:
             break
         before = mark

@@ -380,7 +380,9 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = F.col("n") - F.ceil(F.lit(2 * per_cent) * F.col("n") / (100 + per_cent)) + 1
     tokens = sets.select("id", first.alias("first"), F.posexplode("prefix").alias("at", "token")).select("token", "id", (F.col("at") < F.col("first")).alias("index"))
-    common_tokens = tokens.groupBy("token").agg(F.count("*").alias("df"), F.count_if("index").alias("di")).where("df > 1 and di > 0").select("token", "df")
+    # Written before it is joined, so that Spark can broadcast it or split a token that very many sets have.
+    common_tokens = common.spool(tokens.groupBy("token").agg(F.count("*").alias("df"), F.count_if("index").alias("di")).where("df > 1 and di > 0").select("token", "df"), "join-tokens")
+    common.free_shuffles(spark)
     shared = common.spool(tokens.join(common_tokens, "token"), "join-shared")  # (token, id, index, df): tokens that may find a partner
     common.free_shuffles(spark)
     # Groups: a set's home is its shared token in the matrix that most sets have.

@@ -128,12 +128,12 @@ def parse(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 def with_first(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """Rows (id, url, payload, first): first is the smallest id with the same payload, null if the payload occurs once.
 
-    Only digests that occur more than once are joined back, so the join's small side holds repeated payloads only;
-    minima are pre-aggregated, and AQE splits a hot payload's partition of the outer join.
+    Only digests that occur more than once are joined back, from a written table: where Spark doesn't broadcast it, AQE
+    can split a hot payload's partition of the outer join.
     """
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
-    again = p.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = common.spool(p.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-repeated")
     return p.join(again, "digest", "left").select("id", "url", "payload", "first")
 
 
