@@ -36,7 +36,7 @@ FREQUENT = 48  # sets, as counted within tasks, that make a token frequent
 MOST_FREQUENT = 1 << 20  # frequent tokens sent to the workers (8 MB), the most frequent ones
 CHUNK_TOKENS = 1 << 21  # tokens of a chunk's members, about
 BUCKETS = 256  # of the matrix's counts
-BROADCAST_ROWS = 1 << 19  # assignments that may be broadcast (about 16 MB)
+BROADCAST_ROWS = 1 << 19  # rows of a few numbers that may be broadcast (about 16 MB)
 
 
 def need(n: int, per_cent: int = PER_CENT) -> int:
@@ -343,6 +343,12 @@ def prefixes(docs: DataFrame, frequent, shingle: int, per_cent: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, counts binary")
 
 
+def small(written: DataFrame) -> DataFrame:
+    """A written table of narrow rows, for a join: broadcast if it has BROADCAST_ROWS at most, else left to Spark, which
+    shuffles both sides and splits hot keys."""
+    return F.broadcast(written) if written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else written
+
+
 def sets_of(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
     """Rows (place, visit, id, tokens) for places (id, place, visit)."""
 
@@ -353,9 +359,7 @@ def sets_of(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
             raw = [token_set(t, shingle).tobytes() for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["place", "visit", "id", "tokens"])
 
-    # A place list under BROADCAST_ROWS rows goes to the workers, so that texts aren't shuffled; a larger one is joined.
-    small = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(places) if small else places, "id")
+    joined = docs.select(F.col("doc_id").alias("id"), "text").join(small(places), "id")
     return joined.select("place", "visit", "id", "text").mapInArrow(run, "place long, visit int, id long, tokens binary")
 
 
@@ -368,9 +372,9 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = common.spool(prefixes(docs, frequent, shingle, per_cent), "join-prefixes")
     # Equal sets collapse: the smallest id stands for them. Only the others' ids are joined back to drop their rows.
     named = each.where("n > 0 and doc_id is not null")
-    same = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")).where("k > 1").select("key", "id")
-    spare = common.spool(named.select("doc_id", "key").join(same, "key").where("doc_id <> id").select("doc_id", "key").distinct(), "join-spare")
-    sets = named.join(spare, ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("id"), "key", "n", "prefix", "counts")
+    same = common.spool(named.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")).where("k > 1").select("key", "id"), "join-same")
+    spare = common.spool(named.select("doc_id", "key").join(small(same), "key").where("doc_id <> id").select("doc_id", "key").distinct(), "join-spare")
+    sets = named.join(small(spare), ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("id"), "key", "n", "prefix", "counts")
     repeats = each.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").limit(1).count()
     if repeats:
         sets = sets.dropDuplicates(["id", "key"])
@@ -380,22 +384,22 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = F.col("n") - F.ceil(F.lit(2 * per_cent) * F.col("n") / (100 + per_cent)) + 1
     tokens = sets.select("id", first.alias("first"), F.posexplode("prefix").alias("at", "token")).select("token", "id", (F.col("at") < F.col("first")).alias("index"))
-    # Written before it is joined, so that Spark can broadcast it or split a token that very many sets have.
     common_tokens = common.spool(tokens.groupBy("token").agg(F.count("*").alias("df"), F.count_if("index").alias("di")).where("df > 1 and di > 0").select("token", "df"), "join-tokens")
     common.free_shuffles(spark)
-    shared = common.spool(tokens.join(common_tokens, "token"), "join-shared")  # (token, id, index, df): tokens that may find a partner
+    shared = common.spool(tokens.join(small(common_tokens), "token"), "join-shared")  # (token, id, index, df): tokens that may find a partner
     common.free_shuffles(spark)
     # Groups: a set's home is its shared token in the matrix that most sets have.
     home = shared.where("index").groupBy("id").agg(F.max(F.struct("df", "token")).getField("token").alias("home"))
     home = common.spool(home.join(sets.select("id", "n"), "id"), "join-home")
     # The matrix: tokens by groups, with the sizes of the members that bring the token.
-    matrix = shared.where("index").select("token", "id").join(home, "id").groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    near = small(home)
+    matrix = shared.where("index").select("token", "id").join(near, "id").groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     going = shared.select("token", "id").join(sets.select("id", "n"), "id").join(matrix, "token").where((F.col("least") <= F.col("n")) & (100 * F.col("most") >= per_cent * F.col("n"))).select("id", "home").distinct()
-    visits = common.spool(going.join(home.select("id", "home"), ["id", "home"], "left_anti"), "join-visits")
+    visits = common.spool(going.join(near.select("id", "home"), ["id", "home"], "left_anti"), "join-visits")
 
     groups = common.spool(home.groupBy("home").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("chunks"), F.min("id").alias("pivot"), F.count("*").alias("size")), "join-groups")
     place: Column = F.xxhash64("home", "chunk")
-    members = home.join(groups, "home").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    members = home.join(small(groups), "home").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     pivots = groups.where("chunks > 1").select(F.col("pivot").alias("id"), "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     guests = visits.join(groups.select("home", "chunks"), "home").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # A group of one member without visitors has nothing to open.
@@ -406,7 +410,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def edges_at(where: DataFrame) -> DataFrame:
         """Links found at the places that the bounds admit."""
-        kept = common.spool(admitted(where.join(bounds, "id").select("place", "visit", "id", "n", "counts"), per_cent), "join-admitted")
+        kept = common.spool(admitted(bounds.join(small(where), "id").select("place", "visit", "id", "n", "counts"), per_cent), "join-admitted")
         return common.spool(open_chunks(sets_of(docs, kept, shingle), per_cent), "join-edges")
 
     edges = edges_at(places)
