@@ -239,6 +239,30 @@ class Store:
             raise Refused("positive ttl_seconds is required")
         return float(c["ttl_seconds"])
 
+    # operations that have no command
+
+    def append(self, key: str, text: str, front: bool = False) -> str:
+        """Text added to a string's end or front; another family is replaced."""
+        have = self.have(key, "string") or ""
+        return self.put(key, "string", text + have if front else have + text)
+
+    def upsert(self, key: str, kind: str, value) -> None:
+        """A whole map, slice or set at once."""
+        self.put(key, kind, {canonical(v): v for v in value} if kind == "set" else dict(value) if kind == "map" else list(value))
+
+    def whole_of(self, key: str, kind: str):
+        """A copy of a map, a slice or a set's members, or None."""
+        v = self.have(key, kind)
+        return None if v is None else [x for _, x in sorted(v.items())] if kind == "set" else type(v)(v)
+
+    def bytes_of(self, key: str) -> bytes | None:
+        v = self.have(key, "string")
+        return None if v is None else v.encode()
+
+    def entries(self, prefix: str = "") -> list[tuple[str, object]]:
+        """(key, shown value) of the live keys under a prefix, in byte order."""
+        return [(k, self.shown(k)) for k in sorted(self.data, key=str.encode) if k.startswith(prefix) and self.kind(k) is not None]
+
     # keys, strings, counters
 
     def shown(self, key: str):

@@ -80,6 +80,14 @@ class Catalog:
             rows.append((key, kind, None if expires is None else int((expires - now).total_seconds() * 1000), on_disk, None, preview))
         return self.spark.createDataFrame(rows, "key string, type string, ttl_ms bigint, on_disk boolean, size_bytes bigint, value_preview string")
 
+    def cluster(self, key: str, columns: list[str], path: str, files: int = 64) -> None:
+        """Rewrite a relation in the order of columns: equality, range and leading-column filters on them then skip files
+        and row groups by their minima and maxima."""
+        if not columns or any(c not in self.frames[key].columns for c in columns) or len(set(columns)) < len(columns):
+            raise ValueError("name existing columns, each once")
+        self.frames[key].repartitionByRange(files, *columns).sortWithinPartitions(*columns).write.mode("errorifexists").parquet(path)
+        self.register_path(key, path)
+
     def statistics(self, key: str, *columns: str) -> DataFrame:
         """rows and the distinct values of a column combination."""
         frame = self.frames[key]

@@ -85,6 +85,16 @@ def test_sketches(store):
     assert run(store, "ADDSB", key="n", value=str((1 << 64) - 1)) == ("added sparse bitset values", "1")
 
 
+def test_operations_without_commands(store):
+    assert store.append("k", "b") == "b" and store.append("k", "a", front=True) == "ab" and store.bytes_of("k") == b"ab"
+    store.upsert("m", "map", {"x": 1})
+    store.upsert("s", "set", ["b", "a", "a"])
+    store.upsert("l", "slice", [1, 2])
+    assert store.whole_of("m", "map") == {"x": 1} and store.whole_of("s", "set") == ["a", "b"] and store.whole_of("l", "slice") == [1, 2] and store.whole_of("k", "map") is None
+    store.expiry["m"] = store.now[0] - 1
+    assert [k for k, _ in store.entries()] == ["k", "l", "s"] and [k for k, _ in store.entries("s")] == ["s"]
+
+
 def test_batches(store):
     got = store.run({"command": "BATCH", "batch": [{"command": "SET", "key": "a", "value": "1"}, {"command": "NOPE", "key": "a"}, {"command": "GET", "key": "a"}]})
     assert not got["ok"] and [r["value"] for r in got["responses"]] == [None, None, "1"]
