@@ -8,9 +8,9 @@ bucket by bucket, what a set can share with a member is at most the smaller coun
 threshold with some member, and the members so reached, are opened: their tokens are read and counted exactly, again
 behind the bound of the opened members' exact union.
 
-Prefix rule, in any fixed order of tokens: of a set of n tokens, a partner shares one of the first n - ceil(0.85 n) + 1;
-if the partner isn't smaller, one of the first n - ceil(2 * 0.85 / 1.85 n) + 1, and only these enter the matrix. So the
-larger set of a pair finds the smaller one's group. The order puts tokens that are frequent within tasks last, then goes by hash; any order gives the same links.
+Prefix rule, in any fixed order of tokens: of a set of n tokens, a partner shares `l` of the first n - ceil(0.85 n) + l;
+if the partner isn't smaller, `l` of the first n - ceil(2 * 0.85 / 1.85 n) + l, and only these enter the matrix. So the
+larger set of a pair finds the smaller one's group, by l tokens at least. The order puts tokens that are frequent within tasks last, then goes by hash; any order gives the same links.
 
 Within an opened chunk, sets are linked to pivots first, and only sets outside the largest component are counted
 against all members: sets in one component need no further links. A group of several chunks has its first member in
@@ -32,7 +32,7 @@ from . import common, rolling
 
 SHINGLE, PER_CENT = 4, 85
 LOCAL_TIMES = 3  # occurrences within a task that make a token a candidate for "frequent"
-FREQUENT = 48  # sets, as counted within tasks, that make a token frequent
+FREQUENT = 12  # sets, as counted within tasks, that make a token frequent
 MOST_FREQUENT = 1 << 20  # frequent tokens sent to the workers (8 MB), the most frequent ones
 CHUNK_TOKENS = 1 << 21  # tokens of a chunk's members, about
 BUCKETS = 256  # of the matrix's counts
@@ -322,7 +322,7 @@ def prefixes(docs: DataFrame, frequent, shingle: int, per_cent: int) -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        late = frequent.value
+        late, extra = frequent.value, least_shared(per_cent)
         for batch in batches:
             n, keys, firsts, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -337,12 +337,18 @@ def prefixes(docs: DataFrame, frequent, shingle: int, per_cent: int) -> DataFram
                     hit = late[at] == tokens
                     if hit.any():
                         tokens = np.concatenate([tokens[~hit], tokens[hit]])
-                firsts.append(tokens[: size - need(size, per_cent) + 1].view(np.int64) if size else [])
+                firsts.append(tokens[: size - need(size, per_cent) + extra].view(np.int64) if size else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "n", "key", "prefix", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, counts binary")
 
 
+def least_shared(per_cent: int) -> int:
+    """The `l` of the prefix rule: 4, or less where different sets can link by fewer tokens. (Sets of n and n + 1 tokens
+    link from n = per_cent / (100 - per_cent) on, so linked sets that differ share that many.)"""
+    return 4 if per_cent >= 100 else max(1, min(4, per_cent // (100 - per_cent)))
+
+
 def small(written: DataFrame) -> DataFrame:
     """A written table of narrow rows, for a join: broadcast if it has BROADCAST_ROWS at most, else left to Spark, which
     shuffles both sides and splits hot keys."""
@@ -382,7 +388,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     each = each.drop("prefix", "counts")
 
-    first = F.col("n") - F.ceil(F.lit(2 * per_cent) * F.col("n") / (100 + per_cent)) + 1
+    first = F.col("n") - F.ceil(F.lit(2 * per_cent) * F.col("n") / (100 + per_cent)) + least_shared(per_cent)
     tokens = sets.select("id", first.alias("first"), F.posexplode("prefix").alias("at", "token")).select("token", "id", (F.col("at") < F.col("first")).alias("index"))
     common_tokens = common.spool(tokens.groupBy("token").agg(F.count("*").alias("df"), F.count_if("index").alias("di")).where("df > 1 and di > 0").select("token", "df"), "join-tokens")
     common.free_shuffles(spark)
@@ -394,7 +400,8 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The matrix: tokens by groups, with the sizes of the members that bring the token.
     near = small(home)
     matrix = shared.where("index").select("token", "id").join(near, "id").groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    going = shared.select("token", "id").join(sets.select("id", "n"), "id").join(matrix, "token").where((F.col("least") <= F.col("n")) & (100 * F.col("most") >= per_cent * F.col("n"))).select("id", "home").distinct()
+    going = shared.select("token", "id").join(sets.select("id", "n"), "id").join(matrix, "token").where((F.col("least") <= F.col("n")) & (100 * F.col("most") >= per_cent * F.col("n")))
+    going = going.groupBy("id", "home").agg(F.count("*").alias("common")).where(F.col("common") >= least_shared(per_cent)).select("id", "home")
     visits = common.spool(going.join(near.select("id", "home"), ["id", "home"], "left_anti"), "join-visits")
 
     groups = common.spool(home.groupBy("home").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("chunks"), F.min("id").alias("pivot"), F.count("*").alias("size")), "join-groups")
