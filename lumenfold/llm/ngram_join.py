@@ -36,7 +36,7 @@ FREQUENT = 12  # sets, as counted within tasks, that make a token frequent
 MOST_FREQUENT = 1 << 20  # frequent tokens sent to the workers (8 MB), the most frequent ones
 CHUNK_TOKENS = 1 << 21  # tokens of a chunk's members, about
 BUCKETS = 256  # of the matrix's counts
-BROADCAST_ROWS = 1 << 19  # rows of a few numbers that may be broadcast (about 16 MB)
+BROADCAST_BYTES = 16 << 20  # of a written table that may be broadcast, at 8 bytes a value
 
 
 def need(n: int, per_cent: int = PER_CENT) -> int:
@@ -350,9 +350,10 @@ def least_shared(per_cent: int) -> int:
 
 
 def small(written: DataFrame) -> DataFrame:
-    """A written table of narrow rows, for a join: broadcast if it has BROADCAST_ROWS at most, else left to Spark, which
-    shuffles both sides and splits hot keys."""
-    return F.broadcast(written) if written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else written
+    """A written table of a few numbers a row, for a join: broadcast if it has BROADCAST_BYTES at most, else left to Spark,
+    which shuffles both sides and splits hot keys."""
+    most = BROADCAST_BYTES // (8 * len(written.columns))
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
 
 
 def sets_of(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
