@@ -7,7 +7,8 @@ element by element and modulo the radix, by a digest of the key, the round and t
 that every vector is a valid value of the format; so the map is a permutation of the format's values, and equal values
 get equal pseudonyms in all documents. Check digits are computed anew.
 
-Kinds: email (letters and digits of all but the last domain label), ipv4, phone (North American), card, ssn, date
+Kinds: email (letters and digits of all but the last domain label), ipv4, phone (North American; any area code after +1 or in
+brackets, else one from 200), card, ssn, date
 (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy; years 1800 to 2199, whose 146,097 days are 189 x 773), secret (access
 keys; values of password=, token=, api_key=, secret=).
 
@@ -28,7 +29,7 @@ ROUNDS = 8
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])|\+1[ .-]?[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9.-])(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
@@ -113,13 +114,18 @@ def ipv4(m: Column, key: Column) -> Column:
 
 
 def phone(m: Column, key: Column) -> Column:
+    """Areas from 200 and areas below (taken after +1 or in brackets) are a domain each, so the form never matters."""
     own = digits(m)
     national = ints(F.substring(own, F.length(own) - 9, F.lit(10)))
-    least = F.array(*[F.lit(2 if i in (0, 3) else 0) for i in range(10)])
-    radix = F.array(*[F.lit(8 if i in (0, 3) else 10) for i in range(10)])
-    moved = F.zip_with(feistel(F.zip_with(national, least, lambda v, b: v - b), radix, "phone", key), least, lambda v, b: v + b)
+
+    def moved(first: int, size: int, kind: str) -> Column:
+        least = F.array(*[F.lit({0: first, 3: 2}.get(i, 0)) for i in range(10)])
+        radix = F.array(*[F.lit({0: size, 3: 8}.get(i, 10)) for i in range(10)])
+        return F.zip_with(feistel(F.zip_with(national, least, lambda v, b: v - b), radix, kind, key), least, lambda v, b: v + b)
+
+    new = F.when(F.element_at(national, 1) > 1, moved(2, 8, "phone")).otherwise(moved(0, 2, "phone, low area"))
     code = F.when(F.length(own) > 10, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return refill(m, F.concat(code, moved))
+    return refill(m, F.concat(code, new))
 
 
 def card(m: Column, key: Column) -> Column:

@@ -218,6 +218,18 @@ def test_pii(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_phones_of_any_area(spark):
+    texts = ["call +1 (017) 555-7713", "call (132) 555-1352", "call +1 132 555-1352", "call +1.988.555.2485", "call (988) 555-2485", "not 132 555-1352"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(texts[:5], new)) and new[5] == texts[5]
+    assert re.fullmatch(r"call \+1 \([01]\d\d\) [2-9]\d\d-\d{4}", new[0])
+    number = [re.sub(r"\D", "", x)[-10:] for x in new]
+    assert number[1] == number[2] and number[3] == number[4] and number[3][0] in "23456789"
+    many = spark.range(0, 20_000).select(F.format_string("(%03d) 555-%04d", (F.col("id") % 200).cast("int"), (F.col("id") / 2).cast("int")).alias("text"))
+    assert pii.pseudonymise(many).distinct().count() == many.distinct().count()
+
+
 def test_feistel_is_a_permutation(spark):
     """Against a plain version of the network, over a whole small domain."""
     radix = [7, 5, 3]
