@@ -90,7 +90,6 @@ def smooth(c3: np.ndarray) -> np.ndarray:
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 SEPARATORS = " .-_*~'"
 COST_SIGN, COST_DROP, COST_REPEAT = 1.5, 1.0, 0.5  # bits
-LONGEST = 32
 LETTER, SIGN = "[^\\W\\d_]", "[0-9@$!|+€£(¡]"
 #: A token to decode: letters around signs, letters set apart by separators, a letter three times or more.
 SUSPICIOUS = re.compile(rf"{LETTER}{SIGN}+[\w@$!|+€£(¡]*{LETTER}|{SIGN}{LETTER}{{2}}|^\W*{LETTER}([.\-_*~'])(?:(?:{LETTER}|{SIGN})\1){{2,}}(?:{LETTER}|{SIGN})\W*$|({LETTER})\2\2")
@@ -125,28 +124,34 @@ def choices(ch: str, n: int, spaced: bool) -> list[tuple[str, float]]:
 
 
 def viterbi(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a stretch (lower case)."""
+    """The likeliest letters behind a stretch (lower case), in time linear in its length."""
     spaced = len(token) > 2 and token[1] in SEPARATORS
+    parts = runs(token)
     table = symbol_table()
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ch, n in runs(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, said) in best.items():
-            for letters, cost in choices(ch, n, spaced):
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # what was said: (before, letters)
+    for ch, n in parts:
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for letters, cost in choices(ch, n, spaced):
+            steps = [int(table[min(ord(letter), 0xFFFF)]) for letter in letters]
+            for (a, b), (score, said) in best.items():
                 x, y, s = a, b, score - cost
-                for letter in letters:
-                    z = int(table[min(ord(letter), 0xFFFF)])
+                for z in steps:
                     s += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, said + letters)
+                    new[x, y] = (s, (said, letters) if letters else said)
         best = new
-    return max((score + float(model[a, b, 0]), said) for (a, b), (score, said) in best.items())[1]
+    said = max(((score + float(model[a, b, 0]), said) for (a, b), (score, said) in best.items()), key=lambda x: x[0])[1]
+    out: list[str] = []
+    while said:
+        said, letters = said
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def restored_token(token: str, model: np.ndarray) -> str:
     """A lower-case token, decoded if it is suspicious; signs at its ends stay outside the lattice."""
-    if len(token) > LONGEST or not SUSPICIOUS.search(token):
+    if not SUSPICIOUS.search(token):
         return token
     core = token.strip(".,;:?!\"'()[]{}<>")
     return token.replace(core, viterbi(core, model), 1) if core else token
@@ -156,7 +161,7 @@ def tokens(text: str, model: np.ndarray) -> list[str]:
     """White-space tokens of the lower-cased text; letters set apart by spaces are decoded into one token."""
     low = text.lower()
     if APART.search(low):
-        low = APART.sub(lambda m: viterbi(m[0], model) if len(m[0]) <= 2 * LONGEST else m[0], low)
+        low = APART.sub(lambda m: viterbi(m[0], model), low)
     return low.split()
 
 

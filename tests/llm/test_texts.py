@@ -181,6 +181,19 @@ def test_restoring():
     assert toxicity.restore(None, model) == ""
 
 
+def spoken():
+    """A character model of the corpus with some everyday words."""
+    texts = [t for _, t in corpus()[0]] + ["you are a fool and i think that they said a word about it, stupid as loses go"] * 60
+    return toxicity.smooth(toxicity.trigram_counts(texts).reshape((toxicity.SIZE,) * 3).astype(float))
+
+
+def test_restoring_any_length():
+    model = spoken()
+    assert toxicity.restore("m" + "o" * 40 + "ron", model) == "moron"
+    sentence = "garden letter and the morning river with moron house stone and the idea "
+    assert " " not in toxicity.restore(" ".join((sentence * 400).replace(" ", "")), model)
+
+
 # ---- PII ----
 
 
