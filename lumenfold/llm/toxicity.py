@@ -29,6 +29,7 @@ MIN_DOCS = 8  # positive documents a feature needs
 MOST_FEATURES = 256
 MOST_CANDIDATES = 20_000
 PREFIXES = (4, 5, 6)
+LONGEST_WORD = 24  # letters of a whole word that is a feature
 CACHE = 100_000  # tokens in one of the memo's two generations
 THRESHOLD = 0.3
 
@@ -89,12 +90,17 @@ def smooth(c3: np.ndarray) -> np.ndarray:
 # Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 SEPARATORS = " .-_*~'"
-COST_SIGN, COST_DROP, COST_REPEAT = 1.5, 1.0, 0.5  # bits
+COST_SIGN, COST_DROP, COST_REPEAT, COST_JOIN = 1.5, 1.0, 0.5, 6.0  # bits
+COST_SPLIT = 2.0
+#: Trigrams alone seldom tell where words end. So a word's end that is less likely by up to this many bits may be one too:
+#: the text has the likeliest reading, the features are those of each word that may lie between two such ends.
+DOUBT = 4.0
 LETTER, SIGN = "[^\\W\\d_]", "[0-9@$!|+€£(¡]"
 #: A token to decode: letters around signs, letters set apart by separators, a letter three times or more.
 SUSPICIOUS = re.compile(rf"{LETTER}{SIGN}+[\w@$!|+€£(¡]*{LETTER}|{SIGN}{LETTER}{{2}}|^\W*{LETTER}([.\-_*~'])(?:(?:{LETTER}|{SIGN})\1){{2,}}(?:{LETTER}|{SIGN})\W*$|({LETTER})\2\2")
 #: Four or more single letters or signs, a space between each.
 APART = re.compile(rf"(?<!\S)(?:(?:{LETTER}|{SIGN}) ){{3,}}(?:{LETTER}|{SIGN})(?!\S)")
+GAP = re.compile(r"\s+")
 
 
 def runs(token: str) -> list[tuple[str, int]]:
@@ -107,31 +113,35 @@ def runs(token: str) -> list[tuple[str, int]]:
     return out
 
 
-def choices(ch: str, n: int, spaced: bool) -> list[tuple[str, float]]:
-    """(letters, cost) that the channel turns into n times ch."""
+def choices(ch: str, n: int, spaced: bool, doubled: bool, split: float) -> list[tuple[str, float]]:
+    """(letters, cost) that the channel turns into n times ch. A separator may be nothing or the end of a word."""
     out: list[tuple[str, float]] = []
     if ch.isalpha():
         out = [(ch * n, 0.0)] if n < 3 else [(ch * 2, COST_REPEAT * 2)]
         if n > 1:
-            out.append((ch, COST_REPEAT if n > 2 else COST_REPEAT * 16))
+            out.append((ch, COST_REPEAT if n > 2 or doubled else COST_REPEAT * 16))
     for letter in SIGNS.get(ch, ""):
         out += [(letter, COST_SIGN * n)] if n != 2 else [(letter * 2, COST_SIGN * 2), (letter, COST_SIGN * 3)]
     if ch in SEPARATORS or not out:
-        out.append(("", 0.0 if spaced and ch in SEPARATORS else COST_DROP * n))
+        if spaced and ch in SEPARATORS:
+            out += [("", 0.0), (ch, split)] if n < 2 else [("", COST_JOIN), (ch, 0.0)]
+        else:
+            out += [("", COST_DROP * n), (ch, COST_DROP)]
     elif ch in SIGNS:
         out.append(("", 14.0 * n))
     return out
 
 
-def viterbi(token: str, model: np.ndarray) -> str:
+def viterbi(token: str, model: np.ndarray, split: float = COST_SPLIT) -> str:
     """The likeliest letters behind a stretch (lower case), in time linear in its length."""
     spaced = len(token) > 2 and token[1] in SEPARATORS
     parts = runs(token)
+    doubled = False
     table = symbol_table()
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # what was said: (before, letters)
     for ch, n in parts:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for letters, cost in choices(ch, n, spaced):
+        for letters, cost in choices(ch, n, spaced, doubled, split):
             steps = [int(table[min(ord(letter), 0xFFFF)]) for letter in letters]
             for (a, b), (score, said) in best.items():
                 x, y, s = a, b, score - cost
@@ -149,20 +159,59 @@ def viterbi(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def possible_words(stretch: str, model: np.ndarray) -> list[str]:
+    """The words that may lie in letters set apart by separators."""
+    out: list[str] = []
+    for said in words(viterbi(stretch, model, math.inf)):
+        letters = said.decode(errors="replace")
+        z = [0, 0, *symbol_table()[[min(ord(c), 0xFFFF) for c in letters]].tolist(), 0]
+        p = lambda a, b, c: float(model[a, b, c])
+        ends = [0]
+        for k in range(1, len(letters)):  # an end before letter k, against none
+            a, b, c, d = z[k : k + 4]
+            if p(a, b, 0) + p(b, 0, c) + p(0, c, d) - p(a, b, c) - p(b, c, d) > -DOUBT:
+                ends.append(k)
+        ends.append(len(letters))
+        for i, k in enumerate(ends):
+            for j in ends[i + 1 : i + 1 + LONGEST_WORD]:
+                if j - k <= LONGEST_WORD:
+                    out.append(letters[k:j])
+        out.append(letters)
+    return out
+
+
 def restored_token(token: str, model: np.ndarray) -> str:
-    """A lower-case token, decoded if it is suspicious; signs at its ends stay outside the lattice."""
-    if not SUSPICIOUS.search(token):
-        return token
+    """A lower-case token, decoded if it is suspicious; punctuation at its ends stays outside the lattice."""
     core = token.strip(".,;:?!\"'()[]{}<>")
-    return token.replace(core, viterbi(core, model), 1) if core else token
+    return token.replace(core, viterbi(core, model), 1) if core and SUSPICIOUS.search(core) else token
 
 
-def tokens(text: str, model: np.ndarray) -> list[str]:
-    """White-space tokens of the lower-cased text; letters set apart by spaces are decoded into one token."""
-    low = text.lower()
-    if APART.search(low):
-        low = APART.sub(lambda m: viterbi(m[0], model), low)
-    return low.split()
+def other_words(token: str, model: np.ndarray) -> str:
+    """What a token may be besides its restored form: itself, and the words of letters set apart."""
+    core = token.strip(".,;:?!\"'()[]{}<>")
+    return " ".join([token, *(possible_words(core, model) if len(core) > 2 and core[1] in SEPARATORS and SUSPICIOUS.search(core) else ())])
+
+
+def evened(m: re.Match) -> str:
+    """A stretch of single letters with a space in each gap; two in gaps wider than its narrowest ones, which likely end a word."""
+    gaps = GAP.findall(m[0])
+    wide = [len(g) + 4 * ("\n" in g) for g in gaps]
+    least = min(wide)
+    marks = iter([" " if w == least else "  " for w in wide])
+    return GAP.sub(lambda _: next(marks), m[0])
+
+
+def tokens(text: str, model: np.ndarray, others: list[str] | None = None) -> list[str]:
+    """White-space tokens of the lower-cased text; letters set apart by white space are decoded into words. The words
+    that may lie in them are added to `others`."""
+
+    def decode(m: re.Match) -> str:
+        stretch = evened(m)
+        if others is not None:
+            others.extend(possible_words(stretch, model))
+        return viterbi(stretch, model)
+
+    return APART.sub(decode, text.lower()).split()
 
 
 def restore(text: str | None, model: np.ndarray) -> str:
@@ -181,12 +230,19 @@ def marks(found: set[bytes]) -> set[str]:
     """Features of a set of words: the words and the beginnings of longer ones."""
     out = set()
     for w in (x.decode(errors="replace") for x in found):
-        if len(w) <= 24:
+        if len(w) <= LONGEST_WORD:
             out.add(f"={w}")
         out.update(f"^{w[:k]}" for k in PREFIXES if len(w) >= k)
     return out
 
 
+def text_marks(text: str | None, model: np.ndarray) -> set[str]:
+    """Features of a text: of its tokens, decoded and as they are, and of words that may lie in letters set apart."""
+    others: list[str] = []
+    own = set(tokens(text or "", model, others)).union(others)
+    return marks({w for t in own for w in words(f"{restored_token(t, model)} {other_words(t, model)}")})
+
+
 def training_marks(docs: DataFrame, labels: DataFrame, model, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """Rows (doc, toxic, marks) of the training sample, one per different text."""
     spark = docs.sparkSession
@@ -200,7 +256,7 @@ def training_marks(docs: DataFrame, labels: DataFrame, model, per_class: int = T
         import pyarrow as pa
 
         for batch in batches:
-            out = [sorted(marks(set(words(restore(t, model.value))))) for t in batch.column(2).to_pylist()]
+            out = [sorted(text_marks(t, model.value)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["doc", "toxic", "marks"])
 
     return chosen.groupBy(F.md5("text").alias("same")).agg(F.min("doc_id").alias("doc"), F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("doc", "toxic", "text").mapInArrow(run, "doc long, toxic int, marks array<string>")
@@ -273,16 +329,17 @@ class Scorer:
     def look(self, token: str) -> tuple:
         """() for a token without features that stays as it is, else (restored token, its features)."""
         out = restored_token(token, self.model)
-        known = {w for w in words(out) if w.decode(errors="replace")[:4] in self.heads}
+        known = {w for w in words(f"{out} {other_words(token, self.model)}") if w.decode(errors="replace")[:4] in self.heads}
         own = tuple(sorted(k for m in marks(known) if (k := self.place.get(m)) is not None)) if known else ()
         return (out, own) if own or out != token else ()
 
     def score(self, text: str | None) -> tuple[float, tuple, int]:
         """(probability, tokens with what is known of them, number of decoded tokens)."""
-        own = tokens(text or "", self.model)
+        others: list[str] = []
+        own = tokens(text or "", self.model, others)
         seen = list(map(self.known.__getitem__, own))
         found = [(t, x) for t, x in zip(own, seen) if x] if any(seen) else []
-        total = self.bias + sum(self.weights[k] for k in sorted({k for _, x in found for k in x[1]}))
+        total = self.bias + sum(self.weights[k] for k in sorted({k for x in [*(x for _, x in found), *map(self.known.__getitem__, set(others))] if x for k in x[1]}))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, total)))), (own, seen), sum(t != x[0] for t, x in found)
 
     @staticmethod

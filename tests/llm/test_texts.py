@@ -191,7 +191,20 @@ def test_restoring_any_length():
     model = spoken()
     assert toxicity.restore("m" + "o" * 40 + "ron", model) == "moron"
     sentence = "garden letter and the morning river with moron house stone and the idea "
-    assert " " not in toxicity.restore(" ".join((sentence * 400).replace(" ", "")), model)
+    assert "=moron" in toxicity.text_marks(" ".join(sentence.replace(" ", "")), model)
+    long = toxicity.text_marks(" ".join((sentence * 400).replace(" ", "")), model)
+    assert "=moron" in long and "=garden" in long
+
+
+def test_restoring_word_ends():
+    model = spoken()
+    assert toxicity.restore("you are a m o r o n", model) == "you are a moron"
+    assert toxicity.restore("y o u  m o r o n", model).endswith(" moron") and toxicity.restore("idi0t/m0ron", model) == "idiot/moron"
+    for said in ("y o u m o r o n", "a n i d i o t", "i m o r o n", "y-o-u-m-o-r-o-n"):
+        assert {"=moron", "=idiot"} & toxicity.text_marks(said, model), said
+    scorer = toxicity.Scorer(model, ["=moron"], np.array([5.0]), -3.0)
+    assert scorer.score("y o u m o r o n")[0] > 0.5 > scorer.score("y o u r i v e r")[0]
+    assert "=scumbag" in toxicity.text_marks("s c u m b a g", model)
 
 
 # ---- PII ----
