@@ -96,10 +96,10 @@ COST_SPLIT = 2.0
 #: the text has the likeliest reading, the features are those of each word that may lie between two such ends.
 DOUBT = 4.0
 LETTER, SIGN = "[^\\W\\d_]", "[0-9@$!|+€£(¡]"
-#: A token to decode: letters around signs, letters set apart by separators, a letter three times or more.
-SUSPICIOUS = re.compile(rf"{LETTER}{SIGN}+[\w@$!|+€£(¡]*{LETTER}|{SIGN}{LETTER}{{2}}|^\W*{LETTER}([.\-_*~'])(?:(?:{LETTER}|{SIGN})\1){{2,}}(?:{LETTER}|{SIGN})\W*$|({LETTER})\2\2")
-#: Four or more single letters or signs, a space between each.
-APART = re.compile(rf"(?<!\S)(?:(?:{LETTER}|{SIGN}) ){{3,}}(?:{LETTER}|{SIGN})(?!\S)")
+#: A token to decode: a letter next to a sign, letters set apart by separators, a letter twice or more.
+SUSPICIOUS = re.compile(rf"{LETTER}{SIGN}|{SIGN}{LETTER}|^\W*{LETTER}([.\-_*~'])(?:(?:{LETTER}|{SIGN})\1){{2,}}(?:{LETTER}|{SIGN})\W*$|({LETTER})\2")
+#: Four or more single letters or signs, white space between each.
+APART = re.compile(rf"(?<!\S)(?:(?:{LETTER}|{SIGN})\s+){{3,}}(?:{LETTER}|{SIGN})(?!\S)")
 GAP = re.compile(r"\s+")
 
 
@@ -136,7 +136,7 @@ def viterbi(token: str, model: np.ndarray, split: float = COST_SPLIT) -> str:
     """The likeliest letters behind a stretch (lower case), in time linear in its length."""
     spaced = len(token) > 2 and token[1] in SEPARATORS
     parts = runs(token)
-    doubled = False
+    doubled = len(parts) > 2 and all(n > 1 for _, n in parts)
     table = symbol_table()
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # what was said: (before, letters)
     for ch, n in parts:

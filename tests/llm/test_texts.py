@@ -207,6 +207,13 @@ def test_restoring_word_ends():
     assert "=scumbag" in toxicity.text_marks("s c u m b a g", model)
 
 
+def test_restoring_every_form():
+    model = spoken()
+    for said, meant in (("idi07", "idiot"), ("idi0+", "idiot"), ("lose5", "loses"), ("mmoorroonn", "moron"), ("stuupiid", "stupid"), ("m  o  r  o  n", "moron"), ("m\to\tr\to\tn", "moron"), ("letter", "letter"), ("moron!", "moron!")):
+        assert toxicity.restore(said, model) == meant, said
+    assert {"=a$$", "=letter"} & toxicity.text_marks("letter", model) == {"=letter"}
+
+
 # ---- PII ----
 
 
