@@ -26,6 +26,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header hgroup li main menu nav ol section table tbody td th tr ul head".split())
 FURNITURE_TAGS = frozenset("aside dialog fieldset footer form head menu nav".split())
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|widget)(?=$|[\s_-])", re.I)
+#: Class or id names of lists of replies, teasers or boxes, whose articles aren't the page's own.
+OTHERS = re.compile(r"(?:^|\s)(?:sidebar|widget|promo|(?:comments?|replies|related|respond)(?:[_-]\w+)*)(?=$|\s)", re.I)
+WHOLE = frozenset("html body main article".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TOKEN = re.compile(
     rf"<!--(?:.*?--!?>|.*\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*>|<(?:/?[a-zA-Z]|[!?])[^>]*\Z",
@@ -79,30 +82,41 @@ def decide(node, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= t, decide(low, x), decide(high, x))
 
 
-def marked(tag: str, attrs: str, in_article: bool) -> bool:
-    """Is the element marked as furniture?"""
-    if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
+def marked(tag: str, attrs: str, inside: bool, nested: bool) -> int:
+    """How firmly is the element marked as furniture: 0 not, 1 by a class or id that an article in it clears, 2 by one
+    that only main clears, 3 for good. Classes and ids of a page's whole text (themes' `has-sidebar`) don't count, but
+    those of an article in another one (a reader's comment) do.
+    """
+    if tag in FURNITURE_TAGS or (tag == "header" and not inside):
+        return 3
+    level = 0
     if attrs and not attrs.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attrs):
             value, name = a or b or c, name.lower()
-            if name in ("class", "id") and FURNITURE.search(value) or name == "role" and value.lower() in FURNITURE_ROLES or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-    return False
+            if name == "role" and value.lower() in FURNITURE_ROLES or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return 3
+            if name in ("class", "id") and (tag not in WHOLE or nested) and FURNITURE.search(value):
+                level = max(level, 2 if OTHERS.search(value) else 1)
+    return level
+
+
+def cleared(level: int, tag: str) -> int:
+    """The level that an element of this name inherits."""
+    return 0 if level == 1 and tag in ("article", "main") or level == 2 and tag == "main" else level
 
 
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, furniture, article) of each block that has text."""
     out, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, furniture, article (own or inherited)
-    furniture = article = link = False
+    stack: list[tuple[str, int, bool]] = []  # open containers: tag, furniture, article (own or inherited)
+    furniture, article, link = 0, False, False
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, text.count(" ") + 1, linked, furniture, article))
+                out.append((text, text.count(" ") + 1, linked, furniture > 0, article))
         parts, linked = [], 0
 
     at = 0
@@ -133,8 +147,9 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
                 del stack[k:]
                 link = False
         else:
-            stack.append((tag, furniture or marked(tag, m["attrs"], article), article or tag in ("article", "main")))
-        _, furniture, article = stack[-1] if stack else ("", False, False)
+            nested = tag == "article" and any(t == tag for t, _, _ in stack)
+            stack.append((tag, max(cleared(furniture, "" if nested else tag), marked(tag, m["attrs"], article, nested)), article or tag in ("article", "main")))
+        _, furniture, article = stack[-1] if stack else ("", 0, False)
     if at < len(html):
         parts.append(html[at:])
     flush()

@@ -94,6 +94,13 @@ def test_main_text():
     assert html_text.main_text(long).startswith("running text") and "x" not in html_text.main_text(long).split()
 
 
+def test_marks_of_whole_pages():
+    page = '<html class="no-ads"><body class="has-sidebar nav-open-menu"><div id="content" class="with-sidebar"><article class="post has-sidebar"><p>One.</p><div class="comments"><article>No</article></div><article class="comment">No</article></article></div><div class="share">No</div></body>'
+    assert html_text.main_text(page) == "One."
+    assert html_text.main_text('<body><div class="sidebar comments-area"><main id="nav-main"><p>One.</p></main></div><div id="related-posts"><article>No</article></div>') == "One."
+    assert html_text.main_text('<body><div hidden class="with-sidebar"><article>No</article></div><aside><main>No</main></aside><article role="dialog">No</article>') == ""
+
+
 def test_the_tree_fits_its_table():
     x, y = html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1] == 1
     assert (html_text.decide(html_text.tree(), x) == y).mean() > 0.97
