@@ -119,7 +119,7 @@ def explain_steps(spark, sf_dir):
 
 def keys_catalog(spark, sf_dir):
     e = Engine(spark)
-    e.catalog.register_folder(sf_dir, ["nation", "region"])
+    e.catalog.register_folder(sf_dir, TABLES)
     return e.sql("FROM KEYS SELECT key, type, ttl_ms, on_disk")
 
 
@@ -248,7 +248,7 @@ NATIVE: dict[str, tuple[Query, str | None]] = {
     "udf_go_where_select": (udf_go, f"SELECT {LINE}, l_extendedprice * (1 + l_tax) AS g FROM lineitem WHERE l_extendedprice < 20000 AND l_quantity > 10"),
     "page_second": (page_second, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 25"),
     "explain_steps": (explain_steps, None),
-    "keys_catalog": (keys_catalog, None),
+    "keys_catalog": (keys_catalog, f"SELECT key, 'table' AS type, CAST(NULL AS BIGINT) AS ttl_ms, TRUE AS on_disk FROM (VALUES {', '.join(f"('{t}')" for t in TABLES)}) AS t(key)"),
     "bloom_no_false_neg": (bloom_no_false_negative, "SELECT CAST(0 AS BIGINT) AS missed, count(*) AS asked FROM part"),
     "cuckoo_no_false_neg": (filter_no_false_negative("cuckoo"), "SELECT CAST(0 AS BIGINT) AS missed, count(DISTINCT p_name) AS asked FROM part"),
     "xor_no_false_neg": (filter_no_false_negative("xor"), "SELECT CAST(0 AS BIGINT) AS missed, count(DISTINCT p_name) AS asked FROM part"),
