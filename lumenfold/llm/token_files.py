@@ -4,18 +4,22 @@ The code comes from the global id counts. A file is a sequence of independent bl
 bit-offset checkpoint every `STEP` ids and the documents' ids and lengths, so any stretch decodes from its nearest
 checkpoint. Decoding looks up `LIMIT` bits at a time in one table, for all checkpoints of a block in lockstep.
 
-Rows: null or empty text = the end id alone; repeated rows are written each; rows with a null doc_id come first. An
-empty table gives no files and no rows.
+Rows: null or empty text = the end id alone; repeated rows are written each; rows that share a doc_id come in order of a
+hash of their ids; rows with a null doc_id come first. An empty table gives no files and no rows. Extra columns are
+ignored. A text is encoded whole, however long.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
@@ -24,6 +28,7 @@ MAGIC = b"LFH1"
 LIMIT = 18  # longest code, bits
 STEP = 256  # ids between checkpoints
 BLOCK_IDS = 1 << 19
+FILE_IDS = 1 << 26
 CACHE = 500_000  # chunks in one of the memo's two generations, per worker
 END_ID = 2
 
@@ -139,71 +144,76 @@ def read_block(source, table) -> tuple[list, np.ndarray, np.ndarray] | None:
 
 # ---- encoding texts with the tokenizers library ----
 
-#: A chunk of words and closing marks; a piece boundary lies between each two groups.
-PARTS = re.compile(r"([^\W\d_]+)([.,;:!?]+)?(?:(\n)([^\W\d_]+)([.,;:!?]+)?)?")
+#: The pieces of the byte-level pre-tokenizer.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters whose classes have been the same in all Unicode versions in use; others are cut by the library.
+SETTLED = re.compile("[\0-\u024f\u2010-\u2027]*")
+#: Byte to character, as byte-level vocabularies spell it: printable Latin-1 stays, the rest follows from U+0100 on.
+SPELLED = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else 0 for b in range(256)}
+SPELLED |= {b: 256 + k for k, b in enumerate(b for b in range(256) if not SPELLED[b])}
 
 
 class ChunkEncoder:
     """Library encodings of whole texts, assembled from memoised chunks.
 
     A text is cut before each single space. Byte-level pre-tokenisation always has a boundary before a space that
-    follows a non-space or precedes one, and pieces are merged independently, so the chunks' ids joined are the
-    text's ids; where a cut falls inside a run of white space, the whole text goes through the library.
+    follows a non-space and precedes one, and pieces are merged independently, so the chunks' ids joined are the text's
+    ids. New chunks are cut into the pre-tokenizer's pieces, and new pieces merged by the library's model. Where a cut
+    falls inside a run of white space, or the text has the string of an added token, which the library takes whole, the
+    whole text goes through the library; so does every text if the tokenizer isn't a plain byte-level one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        size = self.lib.get_vocab_size()
-        self.opens = np.array([(self.lib.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.line = self.lib.encode("\n", add_special_tokens=False).ids[0]
-        self.known = common.Memo(lambda x: self.library(" " + x), CACHE, 48)  # of chunks, with their space
-        self.bare = common.Memo(self.library, CACHE // 4, 48)  # of pieces without a space before them
+        kind = json.loads(self.lib.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.plain = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and kind["model"]["type"] == "BPE" and kind["post_processor"] is None
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.cut, self.merge = self.lib.pre_tokenizer and self.lib.pre_tokenizer.pre_tokenize_str, self.lib.model.tokenize
+        self.pieces = common.Memo(self.merged, CACHE, 48)
+        self.chunks = common.Memo(lambda x: self.learn([x])[0], CACHE, 48)  # without the space before them
 
     def library(self, text: str) -> bytes:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Memoise chunks. Words seen before with other closing marks aren't encoded again; the rest go through the
-        library in one call, whose ids part where one opens with a space, or at line ends."""
-        known, bare = self.known, self.bare
-        parts = [(x, PARTS.fullmatch(x)) for x in new]
-        spaced = [w for w in {m[1] if m else x for x, m in parts} if w not in known and w not in known.old]
-        if len(spaced) > 2:
-            ids = np.frombuffer(self.library(" " + " ".join(spaced)), np.uint16)
-            self.split(known, spaced, ids, np.flatnonzero(self.opens[ids]), 0)
-        lines = [w for w in {m[4] for _, m in parts if m and m[4]} if w not in bare and w not in bare.old]
-        if len(lines) > 2:
-            ids = np.frombuffer(self.library("\n" + "\n".join(lines)), np.uint16)
-            self.split(bare, lines, ids, np.flatnonzero(ids == self.line), 1)
-        for x, m in parts:
-            if m and m[1] != x:
-                known.keep(x, known[m[1]] + b"".join(bare[p] for p in m.groups()[1:] if p))
-
-    @staticmethod
-    def split(memo: common.Memo, keys: list[str], ids: np.ndarray, begin: np.ndarray, skip: int) -> None:
-        if len(begin) == len(keys):
-            raw, at = ids.tobytes(), begin.tolist()
-            for x, a, b in zip(keys, at, [*at[1:], len(ids)]):
-                memo.keep(x, raw[2 * (a + skip) : 2 * b])
+    def merged(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(SPELLED)
+        return array("H", [t.id for t in self.merge(spelled)]).tobytes()
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of new chunks (with a space before each). A piece that begins with a space begins a chunk."""
+        text = " " + " ".join(new)
+        if SETTLED.fullmatch(text):
+            found = PIECES.findall(text)
+        else:
+            at = [b for _, (_, b) in self.cut(text)]
+            found = [text[a:b] for a, b in zip([0, *at], at)]
+        ids = list(map(self.pieces.__getitem__, found))
+        begin = [k for k, p in enumerate(found) if p[0] == " "]
+        out = ids if len(begin) == len(ids) else [b"".join(ids[a:b]) for a, b in zip(begin, [*begin[1:], len(ids)])]
+        for x, raw in zip(new, out):
+            self.chunks.keep(x, raw)
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit integers."""
+        if not self.plain or any(x in text for x in self.added):
+            return self.library(text)
         first, *rest = text.split(" ")
-        known = self.known
+        known = self.chunks
         found = list(map(known.get, rest))
         if None in found:
-            gaps = [i for i, x in enumerate(found) if x is None]
-            new = {rest[i] for i in gaps}
+            new = {x for x, ids in zip(rest, found) if ids is None}
             if first != first.rstrip() or any(not x or x != x.strip() for x in new):
                 return self.library(text)
-            new = [x for x in new if x not in known.old and len(x) <= 48]
-            if len(new) > 2:
-                self.learn(new)
-            for i in gaps:
-                found[i] = known[rest[i]]
+            old = {x: ids for x in new if (ids := known.old.get(x)) is not None}
+            for x, ids in old.items():
+                known.keep(x, ids)
+            fresh = [x for x in new if x not in old]
+            old.update(zip(fresh, self.learn(fresh) if fresh else ()))
+            found = [old[x] if ids is None else ids for x, ids in zip(rest, found)]
         return (self.library(first) if first else b"") + b"".join(found)
 
 
@@ -250,8 +260,9 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write_files(tokens: DataFrame, out: str, lengths: np.ndarray) -> DataFrame:
-    """Write tokens (id, n, ids) in ascending id order, a file for each range of ids; rows (part, file, n, n_docs)."""
+def write_files(tokens: DataFrame, out: str, lengths: np.ndarray, total: int = 0) -> DataFrame:
+    """Write tokens (id, n, ids) in ascending id order, a file for each range of ids, about FILE_IDS of `total` ids at most;
+    rows (part, file, n, n_docs)."""
     spark = tokens.sparkSession
     common.ensure_dir(spark, out)
     codes = canonical(lengths)
@@ -289,8 +300,9 @@ def write_files(tokens: DataFrame, out: str, lengths: np.ndarray) -> DataFrame:
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]), pa.array([f"{out}/{name}"]), pa.array([total]), pa.array([docs])], names=["part", "file", "n", "n_docs"])
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.select("id", "ids").repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]  # rows that share an id can lie in several files
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_IDS))
+    ordered = tokens.select("id", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return common.spool(ordered.mapInArrow(write, "part long, file string, n long, n_docs long"), "token-index")
 
 
@@ -321,7 +333,7 @@ def read_files(spark: SparkSession, index: DataFrame, lengths: np.ndarray) -> Da
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + at), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64()), pa.array([uri] * len(docs)), pa.array(begins + at - base)], names=["doc_id", "start", "n_tokens", "ids_crc32", "file", "first_in_file"])
                         at += int(ends[-1])
 
-    spread = starts.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+    spread = starts.repartition(max(1, min(index.count(), 1 << 20)), "file")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, first_in_file long")
 
 
@@ -329,7 +341,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode `documents`, write the coded files, read them back."""
     path = common.tokenizer_path("byte_bpe_50k.json")
     tokens = common.spool(tokenize(common.table(spark, sf_dir, "documents"), path), "tokens")
-    lengths = code_lengths(id_counts(tokens, 1 << 16))
-    index = write_files(tokens, common.shared_dir(spark, "token-files"), lengths)
+    counts = id_counts(tokens, 1 << 16)
+    lengths = code_lengths(counts)
+    index = write_files(tokens, common.shared_dir(spark, "token-files"), lengths, int(counts.sum()))
     common.drop_spool(tokens)
     return read_files(spark, index, lengths)

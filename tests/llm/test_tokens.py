@@ -68,13 +68,34 @@ def test_columns(spark, library):
     assert byte_bpe.digests(df.limit(0), path, ["doc_id"]).count() == 0
 
 
-def test_chunks_equal_whole_texts():
+@pytest.fixture(scope="module")
+def untouched():
+    """The library's own tokenizer, as it is loaded."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
+    return lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, np.uint16).tobytes()
+
+
+def test_chunks_equal_whole_texts(untouched):
+    enc = token_files.ChunkEncoder(common.tokenizer_path("byte_bpe_50k.json"))
+    marks = ["<|endoftext|>", "a <|endoftext|>b", " <|endoftext|> ", "<|endoftext|", "x<|endoftext|><|endoftext|>"]
+    texts = [t or "" for t in TEXTS] + noise() + marks
+    assert untouched("<|endoftext|> a")[:2] == np.uint16(50256).tobytes()
+    for t in texts:
+        assert enc.encode(t) == untouched(t), repr(t)
+    enc.chunks.most = enc.pieces.most = 3  # generations turn over
+    for t in texts:
+        assert enc.encode(t) == untouched(t), repr(t)
+    long = " ".join(noise(400)).replace("  ", " ") * 60
+    assert len(long) > 500_000 and enc.encode(long) == untouched(long)
+
+
+def test_pieces_are_cut_as_the_library_cuts(untouched):
     enc = token_files.ChunkEncoder(common.tokenizer_path("byte_bpe_50k.json"))
-    for t in [t or "" for t in TEXTS] + noise():
-        assert enc.encode(t) == enc.library(t), repr(t)
-    enc.known.most = 3  # generations turn over
-    for t in noise():
-        assert enc.encode(t) == enc.library(t), repr(t)
+    for c in map(chr, [*range(0x250), *range(0x2000, 0x2070), 0x300, 0x3B1, 0x416, 0x661, 0x2167, 0x3000, 0x5B57, 0x1F600]):
+        for t in (f"a {c}b", f"x a{c}b1{c}. {c}", f"q {c}{c}'s", f"1 2{c}{c} 3"):
+            assert enc.encode(t) == untouched(t), (repr(t), hex(ord(c)))
 
 
 def test_length_limited_codes():
@@ -108,21 +129,20 @@ def test_blocks_round_trip(n):
     assert (token_files.unpack(stream, checks, n, token_files.decode_table(lengths)) == ids).all()
 
 
-def test_files(spark):
+def test_files(spark, untouched):
     path = common.tokenizer_path("byte_bpe_50k.json")
-    rows = [(7, "b a"), (3, None), (9, "x" * 500), (3, "again"), (None, "no id")] + [(100 + i, t) for i, t in enumerate(TEXTS)]
+    rows = [(11, "<|endoftext|> a"), (7, "b a"), (3, None), (9, "x" * 500), (3, "again"), (None, "no id")] + [(100 + i, t) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     tokens = common.spool(token_files.tokenize(docs, path), "tokens")
     lengths = token_files.code_lengths(token_files.id_counts(tokens, 1 << 16))
     index = token_files.write_files(tokens, common.shared_dir(spark, "files"), lengths)
     got = sorted(token_files.read_files(spark, index, lengths).collect(), key=lambda r: r["start"])
-    enc = token_files.ChunkEncoder(path)
     at = 0
     known = sorted((d is not None, d or 0) for d, _ in rows)
     assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got] == known
     want = {}
     for d, t in rows:
-        want.setdefault(d, []).append(np.append(np.frombuffer(enc.library(t) if t else b"", np.uint16), 2).astype("<u4").tobytes())
+        want.setdefault(d, []).append(np.append(np.frombuffer(untouched(t or ""), np.uint16), 2).astype("<u4").tobytes())
     for r in got:
         assert r["start"] == at
         at += r["n_tokens"]
