@@ -45,7 +45,7 @@ def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unpacked(pii.pseudonymise(packed(docs), report="replaced"), docs.columns, F.size("replaced") > 0)
+    return unpacked(pii.pseudonymise(packed(docs), key=pii.key_of(spark, pii.DEMONSTRATION_KEY), report="replaced"), docs.columns, F.size("replaced") > 0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

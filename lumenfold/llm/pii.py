@@ -12,7 +12,9 @@ brackets, else one from 200), card, ssn, date
 (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy; years 1800 to 2199, whose 146,097 days are 189 x 773), secret (access
 keys; values of password=, token=, api_key=, secret=).
 
-Rows: a null text stays null; an empty text stays empty; candidates that fail validation stay as they are.
+Rows: a null text stays null; an empty text stays empty; candidates that fail validation stay as they are; repeated rows
+each give a row. Every other column stays. Texts are read whole, and a candidate can be of any length: matching and
+permuting are linear in it.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 
 KEY_CONF = "spark.lumenfold.pii.key"
-DEFAULT_KEY = "lumenfold demonstration key"
+#: For the registered queries where KEY_CONF is unset, so that their results are the same each time. The operator has no
+#: key of its own: with a published one, anyone could invert the permutation.
+DEMONSTRATION_KEY = "lumenfold demonstration key"
 ROUNDS = 8
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"  # classes alone are repeated: Java's matcher recurses for repeated groups
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 PHONE = r"(?<![0-9+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[2-9][0-9]{2}[ .-])|\+1[ .-]?[0-9]{3}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9.-])(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])"
@@ -45,21 +49,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def feistel(values: Column, radix: Column, kind: str, key: Column) -> Column:
-    """Keyed permutation of the vectors (array<int>) below `radix` (array<int>, as long)."""
-    half = F.floor(F.size(values) / 2).cast("int")
+    """Keyed permutation of the vectors (array<int>) below `radix` (array<int>, as long). Both are computed once, so the work
+    is linear in their length."""
 
-    def turn(state: Column, r: Column) -> Column:
-        left = (r % 2) == 0
-        other = F.when(left, F.slice(state, half + 1, F.size(state) - half)).otherwise(F.slice(state, F.lit(1), half))
-        digest = F.sha2(F.encode(F.concat_ws("|", key, F.lit(kind), r.cast("string"), F.size(state).cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), "UTF-8"), 512)
+    def rounds(x: Column) -> Column:
+        start, base, half = x["v"], x["r"], x["half"]
 
-        def move(d: Column) -> Column:
-            shift = lambda i: F.conv(F.substring(d, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-            return F.transform(state, lambda v, i: F.when((i < half) == left, (v + shift(i)) % F.element_at(radix, i + 1)).otherwise(v))
+        def turn(state: Column, r: Column) -> Column:
+            left = (r % 2) == 0
+            other = F.when(left, F.slice(state, half + 1, F.size(state) - half)).otherwise(F.slice(state, F.lit(1), half))
+            digest = F.sha2(F.encode(F.concat_ws("|", key, F.lit(kind), r.cast("string"), F.size(state).cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), "UTF-8"), 512)
 
-        return let(digest, move)
+            def move(d: Column) -> Column:
+                shift = lambda i: F.conv(F.substring(d, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.transform(state, lambda v, i: F.when((i < half) == left, (v + shift(i)) % F.element_at(base, i + 1)).otherwise(v))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
+            return let(digest, move)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
+
+    return let(let(values, lambda v: F.struct(v.alias("v"), radix.alias("r"), F.floor(F.size(v) / 2).cast("int").alias("half"))), rounds)
 
 
 def digits(text: Column) -> Column:
@@ -94,12 +103,20 @@ def luhn(values: Column, skip: int) -> Column:
 
 def alphanumeric(text: Column, kind: str, key: Column) -> Column:
     """Letters and digits permuted, each within its class; other characters stay."""
-    chars = F.split(text, "")
-    radix = F.transform(chars, lambda c: F.when(c.rlike("^[0-9]$"), 10).when(c.rlike("^[A-Za-z]$"), 26).otherwise(1))
-    base = lambda c: F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).when(c.rlike("^[A-Z]$"), 65).otherwise(F.ascii(c))
-    values = F.transform(chars, lambda c: F.when(c.rlike("^[A-Za-z0-9]$"), F.ascii(c) - base(c)).otherwise(0))
-    moved = feistel(values, radix, kind, key)
-    return let(moved, lambda m: F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[A-Za-z0-9]$"), F.char(base(c) + F.element_at(m, i + 1))).otherwise(c)), ""))
+
+    def permuted(chars: Column) -> Column:
+        code = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(-1)
+        bases = F.transform(chars, code)
+
+        def moved(base: Column) -> Column:
+            radix = F.transform(base, lambda b: F.when(b == 48, 10).when(b < 0, 1).otherwise(26))
+            values = F.zip_with(chars, base, lambda c, b: F.when(b < 0, 0).otherwise(F.ascii(c) - b))
+            new = feistel(values, radix, kind, key)
+            return F.array_join(F.zip_with(F.arrays_zip(chars.alias("c"), base.alias("b")), new, lambda x, v: F.when(x["b"] < 0, x["c"]).otherwise(F.char(x["b"] + v))), "")
+
+        return let(bases, moved)
+
+    return let(F.split(text, ""), permuted)
 
 
 def email(m: Column, key: Column) -> Column:
@@ -192,32 +209,37 @@ def pseudonym(m: Column, key: Column) -> Column:
     return let(kind_of(m), choose)
 
 
-def key_of(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_CONF, DEFAULT_KEY)
+def key_of(spark: SparkSession, fallback: str | None = None) -> str:
+    key = spark.conf.get(KEY_CONF, fallback)
+    if not key:
+        raise ValueError(f"set {KEY_CONF} or pass a key")
+    return key
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None, report: str | None = None) -> DataFrame:
-    """docs with text_col pseudonymised; `report` names an array column of (kind, pseudonym) of the replaced values. Every
-    row stays, and every column but two working ones, `_found` and `_new`.
+    """docs with text_col pseudonymised under `key`, or the session's (KEY_CONF); `report` names an array column of (kind,
+    pseudonym) of the replaced values. Every row stays, and every other column.
 
     A map over rows: no shuffle. The text is split at the candidates, and joined again with their pseudonyms.
     """
     spark = docs.sparkSession
     secret_key = F.lit(key_of(spark) if key is None else key)
-    text = F.col(text_col)
+    names = {c.lower() for c in docs.columns}
+    new = next(n for k in range(len(names) + 1) if (n := f"_new{k or ''}") not in names)
+    text = F.col(f"`{text_col}`")
     pattern = F.lit(ANY)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, pattern, 0)).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, secret_key).alias("new"))))
+    out = docs.withColumn(new, F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, secret_key).alias("new"))))
     between = F.split(text, ANY, -1)
-    ends = F.concat(F.transform("_new", lambda p: p["new"]), F.array(F.lit("")))
+    ends = F.concat(F.transform(new, lambda p: p["new"]), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(between, ends, lambda a, b: F.concat(a, b)), "")
-    changed = F.filter("_new", lambda p: p["old"] != p["new"])
+    changed = F.filter(new, lambda p: p["old"] != p["new"])
     if report:
         out = out.withColumn(report, F.transform(changed, lambda p: F.struct(kind_of(p["old"]).alias("kind"), p["new"].alias("pseudonym"))))
-    return out.withColumn(text_col, F.when(F.size(changed) > 0, joined).otherwise(text)).drop("_found", "_new")
+    return out.withColumn(text_col, F.when(F.size(changed) > 0, joined).otherwise(text)).drop(new)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymise(docs, report="replaced")
+    out = pseudonymise(docs, key=key_of(spark, DEMONSTRATION_KEY), report="replaced")
     return out.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), F.to_json("replaced").alias("replaced"))
