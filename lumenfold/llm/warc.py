@@ -5,7 +5,8 @@ the public seekable format (a skippable frame with the compressed and raw size o
 record to its bundle, frame and offset inside the frame, so one record is read by decompressing one frame.
 
 Rows: null payload = empty payload; null url = no target header; a null id is kept. Repeated rows that share the
-smallest id of a payload are all responses. An empty table gives no bundles and no rows.
+smallest id of a payload are all responses. An empty table gives no bundles and no rows. Extra columns are ignored. A
+record is whole in one frame, however long its payload.
 """
 
 from __future__ import annotations
@@ -178,32 +179,58 @@ def write_bundles(rows: DataFrame, out: str, frame_bytes: int = 1 << 18, bundle_
 
 
 def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, frame by frame; payload figures of responses are recomputed."""
+    """Every record of the index, read from its frame at its offset; payload figures of responses are recomputed.
+
+    Bundles are dealt among tasks with their index rows. Each record is parsed at the place that the index names and must
+    be the one that it names; a frame's records must fill it, so a record that the index lacks is found too.
+    """
+    types = {"long": "int64", "int": "int32", "string": "string"}
+    columns = [c.split() for c in READ_SCHEMA.split(", ")]
 
     def read(batches):
         import pyarrow as pa
 
-        names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
-        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in READ_SCHEMA.split(", ")])
+        schema = pa.schema([(n, getattr(pa, types[t])()) for n, t in columns])
+        source = uri = table = raw = None
+        frame, end = -1, 0
+
+        def leave(following):
+            """Nothing may be left of the frame, nor frames after a bundle's last one."""
+            if raw is not None and (end != len(raw) or following != frame + 1):
+                raise ValueError(f"{uri} has records that the index lacks in frame {frame} or after it")
+
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                fs, path = common.open_fs(uri)
-                with fs.open_input_file(path) as source:
-                    for k, frame in enumerate(seek_table(source)):
-                        rows = []
-                        for at, head, block in parse(read_frame(source, frame)):
-                            kind = head["WARC-Type"]
-                            body = block[block.index(b"\r\n\r\n") + 4 :]
-                            size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:]
-                            if kind == "response" and (len(body) != size or digest32(body) != digest):
-                                raise ValueError(f"damaged record {head['WARC-Record-ID']} in {uri}")
-                            rid, to = head.get("X-Row-ID"), head.get("X-Refers-To-Row-ID")
-                            rows.append((None if rid is None else int(rid), head["WARC-Record-ID"][1:-1], kind, head.get("WARC-Target-URI"), size, digest, None if to is None else int(to), uri, k, at))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(zip(*rows), names)], schema=schema)
-
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(read, READ_SCHEMA)
+            rows = []
+            for name, k, at, size, rid in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if name != uri or k != frame:
+                    leave(k if name == uri else len(table or ()))
+                    if name != uri:
+                        if source is not None:
+                            source.close()
+                        fs, path = common.open_fs(name)
+                        uri, source = name, fs.open_input_file(path)
+                        table, frame = seek_table(source), -1
+                    if k != frame + 1:
+                        raise ValueError(f"{uri} has records that the index lacks before frame {k}")
+                    frame, end, raw = k, 0, read_frame(source, table[k])
+                _, head, block = next(parse(raw[at : at + size]))
+                if at != end or head["WARC-Record-ID"] != f"<{rid}>":
+                    raise ValueError(f"{rid} isn't at {at} in frame {k} of {uri}")
+                end = at + size
+                kind, body = head["WARC-Type"], block[block.index(b"\r\n\r\n") + 4 :]
+                length, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:]
+                if kind == "response" and (len(body) != length or digest32(body) != digest):
+                    raise ValueError(f"damaged record {rid} in {uri}")
+                own, to = head.get("X-Row-ID"), head.get("X-Refers-To-Row-ID")
+                rows.append((None if own is None else int(own), rid, kind, head.get("WARC-Target-URI"), length, digest, None if to is None else int(to), uri, k, at))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+        leave(len(table or ()))
+        if source is not None:
+            source.close()
+
+    places = index.select("bundle", "frame", "frame_offset", "record_bytes", "record_id")
+    bundles = max(1, places.select("bundle").distinct().count())
+    return places.repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame", "frame_offset").mapInArrow(read, READ_SCHEMA)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

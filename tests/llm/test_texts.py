@@ -29,6 +29,17 @@ def test_warc_round_trip(spark):
     assert warc.read_bundles(spark, warc.write_bundles(warc.with_first(df.limit(0), "page_id", "url", "html"), common.shared_dir(spark, "warc"))).count() == 0
 
 
+def test_the_index_is_checked(spark):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    index = common.spool(warc.write_bundles(warc.with_first(df, "page_id", "url", "html"), common.shared_dir(spark, "warc"), frame_bytes=400, bundle_bytes=2000), "index")
+    shifted = index.withColumn("frame_offset", F.expr("if(id = 3, frame_offset + 1, frame_offset)"))
+    other = index.withColumn("record_id", F.expr("if(id = 3, 'urn:uuid:0', record_id)"))
+    for broken in (shifted, other, index.where("id <> 3 or id is null")):
+        with pytest.raises(Exception, match="isn't at|lacks|not found|substring"):
+            warc.read_bundles(spark, broken).collect()
+    assert warc.read_bundles(spark, index).count() == len(PAGES)
+
+
 def test_bundles_are_zstandard(spark, tmp_path):
     import zstandard
 
@@ -46,7 +57,7 @@ def test_bundles_are_zstandard(spark, tmp_path):
 # ---- decontamination ----
 
 WORDS = [f"w{i}" for i in range(40)]
-ITEMS = [(1, " ".join(WORDS[:15])), (2, "Short ITEM"), (10, " ".join(WORDS[2:16])), (3, None), (4, "!?"), (2, "short item")]
+ITEMS = [(1, " ".join(WORDS[:15])), (2, "Short ITEM"), (10, " ".join(WORDS[2:16])), (3, None), (4, "!?"), (2, "short item"), (None, "nameless item here"), (7, "nameless item")]
 
 
 def brute(text, items):
@@ -59,16 +70,17 @@ def brute(text, items):
             for i in range(len(w) - len(part) + 1):
                 if w[i : i + len(part)] == part:
                     hit.update(range(i, i + len(part)))
-                    own.add(str(item))
+                    own.update([str(item)] if item is not None else [])
     return len(w), len(hit), sorted(own)
 
 
-@pytest.mark.parametrize("most", [1 << 20, 40])
-def test_decontamination(spark, most):
-    texts = [None, "", "...", " ".join(WORDS), "x, " + "; ".join(WORDS[1:16]).upper() + " y", "a short item. SHORT-item", "short", " ".join(WORDS[:12]), "é " * 500 + "short item", " ".join(WORDS[3:16])]
+@pytest.mark.parametrize("most,stretch", [(1 << 20, 4096), (40, 4096), (60, 2)])
+def test_decontamination(spark, monkeypatch, most, stretch):
+    monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+    texts = [None, "", "...", " ".join(WORDS), "x, " + "; ".join(WORDS[1:16]).upper() + " y", "a short item. SHORT-item", "short", " ".join(WORDS[:12]), "é " * 500 + "short item", " ".join(WORDS[3:16]), "a nameless item here", "x " * 400_000 + " ".join(WORDS)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, items int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.find(docs, bench, most_bytes=most).withColumn("bad", decontaminate.contaminated()).withColumn("rest", decontaminate.strip_spans(F.col("text"), F.col("spans"))).collect()
+    got = decontaminate.find(docs, bench, most_nodes=most).withColumn("bad", decontaminate.contaminated()).withColumn("rest", decontaminate.strip_spans(F.col("text"), F.col("spans"))).collect()
     assert len(got) == len(texts) + 1
     for r in got:
         n, hits, own = brute(texts[r["doc_id"]], ITEMS)
