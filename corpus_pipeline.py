@@ -2,7 +2,7 @@
 
 Toxic documents go; of each group of near copies one document stays; documents that are contaminated by the benchmark
 go, and shorter passages of it are cut out of the others; personal data get pseudonyms; the texts are encoded.
-All stages but the last keep the columns of `documents`; rows with a null doc_id pass the near-copy stage.
+All stages but the last keep the columns of `documents`.
 """
 
 from __future__ import annotations
@@ -31,12 +31,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unpacked(toxicity.score(packed(docs), learned).where(F.col("score") < toxicity.THRESHOLD), docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with `_vertex`: the doc_id where it is one row's alone, else (null or repeated) a number over 2**62 from a hash of
+    id and text, so that only equal rows share one; and the repeated ids."""
+    repeated = common.spool(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1"), "repeated-ids")
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    vertex = F.when(F.col("_k").isNotNull() | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id").cast("long"))
+    return docs.join(repeated, "doc_id", "left").withColumn("_vertex", vertex).drop("_k"), repeated
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays: word 5-grams, similarity 0.8."""
-    found = ngram_join.components(docs, shingle=5, per_cent=80)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct("*")).alias("row")).select("row.*")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group stays, that of the smallest doc_id: word 5-grams, similarity 0.8.
+
+    Every row takes part, also one whose doc_id is null or another row's too; of a group of such rows alone, that with
+    the smallest hash stays. Equal rows (id and text) are one.
+    """
+    columns = docs.columns
+    with_vertex, repeated = numbered(docs)
+    found = ngram_join.components(with_vertex, id_col="_vertex", shingle=5, per_cent=80)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_vertex")).distinct()
+    kept = with_vertex.join(stay, "_vertex", "left_semi")
+    doubtful = F.col("_vertex") >= 1 << 62
+    return kept.where(~doubtful).select(*columns).union(kept.where(doubtful).dropDuplicates(["_vertex"]).select(*columns))
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has read and its working tables are deleted once its own table is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.spool(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scope(spark):
+            docs = common.keep(common.spool(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            common.drop_spool(before)
+        before = docs
     return docs

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,12 +28,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; a local one only for a local master without one (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = own.get() if own.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -43,10 +46,35 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/lumenfold-{label}-{uuid.uuid4().hex}"
 
 
+_scopes: list[set[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables spooled inside are deleted at its end, but those that `keep` hands to the scope around it."""
+    _scopes.append(set())
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Let a spooled table outlive the innermost scope."""
+    if _scopes:
+        _scopes[-1].discard(df._spool_path)
+        if len(_scopes) > 1:
+            _scopes[-2].add(df._spool_path)
+    return df
+
+
 def spool(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
+    if _scopes:
+        _scopes[-1].add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spool_path = path
@@ -55,6 +83,8 @@ def spool(df: DataFrame, label: str) -> DataFrame:
 
 def drop_spool(df: DataFrame) -> None:
     """Delete a spooled table that no later plan reads."""
+    for own in _scopes:
+        own.discard(df._spool_path)
     remove(df.sparkSession, df._spool_path)
 
 
@@ -139,7 +169,8 @@ def connected(spark: SparkSession, edges: DataFrame, label: str, rounds: int = 6
     """Smallest vertex reachable from each vertex of `edges` (src, dst long): rows (id, component).
 
     Alternates large-star and small-star steps; each edge set is written to the shared folder. The minima of a step are
-    written too before they are joined back: a join of two plain tables is one that AQE can split at a hub.
+    written too before they are joined back: a join of two plain tables is one that AQE can split at a hub. The number of
+    steps grows with the logarithm of the number of vertices; beyond `rounds` an error is raised, never a partial result.
     """
     e = spool(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), f"{label}-edges")
     before = None
@@ -160,4 +191,7 @@ def connected(spark: SparkSession, edges: DataFrame, label: str, rounds: int = 6
         before = mark
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = spool(found, f"{label}-found")
+    drop_spool(e)
+    return out

@@ -6,9 +6,13 @@ yields an ordered array of structs (position, kind, text, digest, caption). Payl
 never shuffled: the store's features and sizes are computed where the bytes are read, and only they are joined.
 
 The stored form is a binary greyscale PGM image, 24 samples wide; a payload is padded with bytes 255 to a positive
-multiple of 576 (24 x 24), so every payload byte is one 8-bit sample.
+multiple of 576 (24 x 24), so every payload byte is one 8-bit sample. Byte 255 isn't in UTF-8, so the text's length is
+known from the samples. `article` sets a text's own lines as paragraphs with two figures among them: the whole text's
+image after the first half of the lines, and its last 576 samples at the end.
 
-Rows: null or empty text = one block of padding; equal texts share a stored object; repeated rows each give a row.
+Rows: null or empty text = one block of padding and no paragraph; equal texts share a stored object; repeated rows each
+give a row; references to objects that the store lacks keep nulls. Texts are taken whole, however long. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -65,6 +69,18 @@ def figure(digest: str, caption: str) -> str:
     return f'<figure><img src="cas:{digest}" alt="{escape(caption)}"><figcaption>{escape(caption)}</figcaption></figure>'
 
 
+WHOLE, END = "whole text", "end of the text"
+
+
+def article(text: str | None) -> tuple[str, list[tuple[str, bytes]]]:
+    """(html of a text's lines and its two figures, (digest, stored form) of these)."""
+    samples, _ = payload(text)
+    media = [(hashlib.sha256(x).hexdigest(), x) for x in (to_pgm(samples), to_pgm(samples[-BLOCK:]))]
+    lines = [f"<p>{escape(x)}</p>" for x in (text or "").split("\n") if x and not x.isspace()]
+    half = (len(lines) + 1) // 2
+    return "".join([*lines[:half], figure(media[0][0], WHOLE), *lines[half:], figure(media[1][0], END)]), media
+
+
 class _Reader(HTMLParser):
     BREAKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "figure", "section", "article", "blockquote", "td", "tr"}  # fixed values
     SILENT = {"script", "style", "template", "head"}
@@ -118,25 +134,39 @@ def sequence(html: str | None) -> list[dict]:
     return [{"position": k, "kind": kind, "text": text, "digest": digest, "caption": caption} for k, (kind, text, digest, caption) in enumerate(reader.items)]
 
 
-def sequences(docs: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
-    """docs' columns `keep` with `items`, the parsed sequence of html_col."""
+SEQUENCE_KIND = [("position", "int32"), ("kind", "string"), ("text", "string"), ("digest", "string"), ("caption", "string")]
+
+
+def parsed(docs: DataFrame, col: str, keep: list[str], read) -> DataFrame:
+    """docs' columns `keep` with `items`, what `read` finds in the column's values."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+        kind = pa.list_(pa.struct([(n, getattr(pa, t)()) for n, t in SEQUENCE_KIND]))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([sequence(h) for h in batch.column(len(keep)).to_pylist()], kind)], names=[*keep, "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([read(h) for h in batch.column(len(keep)).to_pylist()], kind)], names=[*keep, "items"])
+
+    own = docs.select(*keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return docs.select(*keep, F.col(f"`{col}`").alias("_value")).mapInArrow(run, f"{fields}, items {SEQUENCE}")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, f"{fields}, items {SEQUENCE}")
 
+def sequences(docs: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
+    """docs' columns `keep` with `items`, the parsed sequence of html_col."""
+    return parsed(docs, html_col, keep, sequence)
 
-def store(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, str]:
-    """Store each text's payload; rows (id, html) whose html refers to it, spooled, and the store's path.
 
-    Stored objects are written with the documents' partitioning. A task skips payloads that it has stored before;
+def articles(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """docs' columns `keep` with `items`, the parsed sequence of the text's article."""
+    return parsed(docs, text_col, keep, lambda text: sequence(article(text)[0]))
+
+
+def store(docs: DataFrame, text_col: str) -> DataFrame:
+    """Store the media of each text's article; rows (digest, stored), spooled.
+
+    Stored objects are written with the documents' partitioning. A task skips objects that it has stored before;
     equal objects of different tasks have the same digest and bytes, and readers take any.
     """
     spark = docs.sparkSession
@@ -147,31 +177,30 @@ def store(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, str]:
 
         seen: set[bytes] = set()
         for batch in batches:
-            html, digest, form = [], [], []
-            for text in batch.column(1).to_pylist():
-                padded, n = payload(text)
-                stored = to_pgm(padded)
-                key = hashlib.sha256(stored)
-                html.append(f"<p>{n} bytes</p>" + figure(key.hexdigest(), f"{n} bytes"))
-                digest.append(key.hexdigest())
-                form.append(None if key.digest()[:12] in seen else stored)
-                if len(seen) < 1 << 18:  # a repeated object beyond this is stored again, to the same effect
-                    seen.add(key.digest()[:12])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html), pa.array(digest), pa.array(form, pa.binary())], names=["id", "html", "digest", "stored"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    written = common.spool(rows.mapInArrow(run, "id long, html string, digest string, stored binary"), "media")
-    return written.select("id", "html"), written._spool_path
-
-
-def stored_facts(spark: SparkSession, path: str) -> DataFrame:
+            digests, forms = [], []
+            for text in batch.column(0).to_pylist():
+                for digest, stored in article(text)[1]:
+                    key = bytes.fromhex(digest)[:16]
+                    if key not in seen:
+                        digests.append(digest)
+                        forms.append(stored)
+                    if len(seen) < 1 << 18:  # a repeated object beyond this is stored again, to the same effect
+                        seen.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(forms, pa.binary())], names=["digest", "stored"])
+
+    return common.spool(docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "digest string, stored binary"), "media")
+
+
+FACTS = [("digest", "string"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+
+
+def stored_facts(media: DataFrame) -> DataFrame:
     """One row per digest of the store, from the stored bytes: sizes, digests and the feature."""
-    media = spark.read.parquet(path).where("stored is not null").select("digest", "stored")
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in FACTS])
         for batch in batches:
             out = []
             for digest, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -179,21 +208,32 @@ def stored_facts(spark: SparkSession, path: str) -> DataFrame:
                 form = hashlib.sha256(stored).hexdigest()
                 if form != digest:
                     raise ValueError(f"damaged object {digest}")
-                out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(stored), form, feature(samples)))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)] if out else [pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())], names=names)
+                out.append((digest, len(samples.rstrip(bytes([PAD]))), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(stored), form, feature(samples)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
+
+    return media.select("digest", "stored").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in FACTS)).dropDuplicates(["digest"])
+
 
-    return media.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").dropDuplicates(["digest"])
+def references(found: DataFrame) -> DataFrame:
+    """A row for each media item of parsed sequences (id, items)."""
+    return found.select("id", F.explode("items").alias("item")).where("item.kind = 'media'").select("id", "item.position", "item.caption", "item.digest")
 
 
-def resolve(parsed: DataFrame, facts: DataFrame) -> DataFrame:
-    """Media items of parsed sequences (id, items) with what the store knows of them; unknown digests keep nulls."""
-    refs = parsed.select("id", F.explode("items").alias("item")).where("item.kind = 'media'").select("id", "item.position", "item.caption", "item.digest")
+def resolve(refs: DataFrame, facts: DataFrame) -> DataFrame:
+    """References (with a column digest) with what the store knows of them; unknown digests keep nulls."""
     return refs.join(facts, "digest", "left")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = store(common.table(spark, sf_dir, "documents"), "text", "doc_id")
+    """Each document's whole-text image, as the figure in its parsed article refers to it; also where both figures stand
+    among the article's items, and the digest of the second one's object."""
+    docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The facts are written before they are joined: a digest that many documents share can then be split among tasks.
-    found = resolve(sequences(docs, "html", ["id"]), common.spool(stored_facts(spark, path), "media-facts"))
-    size = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
-    return found.select(F.col("id").alias("doc_id"), size.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    facts = common.spool(stored_facts(store(docs, "text")), "media-facts")
+    figures = F.filter("items", lambda x: x["kind"] == "media")
+    at = lambda caption: F.element_at(F.filter(figures, lambda x: x["caption"] == caption), 1)
+    refs = articles(docs, "text", ["doc_id"]).select("doc_id", at(WHOLE).alias("whole"), at(END).alias("end"), F.size("items").cast("long").alias("n_items"))
+    refs = refs.select("doc_id", "n_items", F.col("whole.digest").alias("digest"), "whole.position", F.col("end.digest").alias("end_digest"), F.col("end.position").alias("end_position"))
+    out = resolve(refs, facts).withColumnRenamed("digest", "own").withColumnRenamed("end_digest", "digest")
+    out = resolve(out, facts.select("digest", F.col("media_sha256").alias("end_sha256")))
+    return out.select("doc_id", *[n for n, _ in FACTS if n != "digest"], "n_items", "position", "end_position", "end_sha256")

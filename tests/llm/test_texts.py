@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -129,20 +130,42 @@ def test_extract(spark):
 # ---- media ----
 
 
-def test_media(spark):
-    texts = ["", None, "a", "x" * 576, "é" * 400, "x" * 576]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
-    docs, path = media.store(df, "text", "doc_id")
-    got = media.resolve(media.sequences(docs, "html", ["id"]), media.stored_facts(spark, path)).collect()
-    assert len(got) == len(texts)
+def plain_feature(samples):
+    """The 8 x 8 grid, cell by cell."""
+    rows = [samples[k : k + 24] for k in range(0, len(samples), 24)]
+    edge = [k * len(rows) // 8 for k in range(9)]
+    cells = [sum(sum(r[3 * j : 3 * j + 3]) for r in rows[edge[i] : edge[i + 1]]) / (edge[i + 1] - edge[i]) for i in range(8) for j in range(8)]
+    middle = (sorted(cells)[31] + sorted(cells)[32]) / 2
+    return f"{int(''.join(str(int(c > middle)) for c in cells), 2):016x}"
+
+
+def test_media(spark, tmp_path):
+    lines = "First line & <b>\n\n \nsecond\nthird\nfourth"
+    texts = ["", None, "a", "x" * 576, "é" * 400, "x" * 576, lines, lines, "long " * 200_000, "\n \n"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, "a"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "items": F.lit(1)}).repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = media.op9_media(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((d is None, d or 0) for d, _ in rows)
     for r in got:
-        raw = (texts[r["id"]] or "").encode()
+        text = "no id" if r["doc_id"] is None else texts[r["doc_id"]]
+        raw = (text or "").encode()
         padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
-        assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["payload_bytes"] == len(padded) and r["caption"] == f"{len(raw)} bytes" and r["position"] == 1
-        assert r["media_sha256"] == hashlib.sha256(media.to_pgm(padded)).hexdigest() and re.fullmatch("[0-9a-f]{16}", r["feature"])
-    by = {r["id"]: r["feature"] for r in got}
-    assert by[0] == by[1] and by[3] == by[5]
-    assert media.stored_facts(spark, media.store(df.limit(0), "text", "doc_id")[1]).count() == 0
+        pgm = lambda x: b"P5\n24 %d\n255\n" % (len(x) // 24) + x
+        want = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(pgm(padded)), hashlib.sha256(pgm(padded)).hexdigest(), plain_feature(padded))
+        assert tuple(r[n] for n, _ in media.FACTS[1:]) == want
+        paragraphs = [x for x in (text or "").split("\n") if x.strip()]
+        assert (r["n_items"], r["position"], r["end_position"]) == (len(paragraphs) + 2, (len(paragraphs) + 1) // 2, len(paragraphs) + 1)
+        assert r["end_sha256"] == hashlib.sha256(pgm(padded[-576:])).hexdigest()
+    spark.createDataFrame([], df.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert media.op9_media(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_articles_interleave_texts_and_media():
+    lines = ["One & <two>", "Three", "Four\tfive", "six"]
+    html, stored = media.article("\n".join(lines))
+    items = [(x["position"], x["kind"], x["text"], x["digest"], x["caption"]) for x in media.sequence(html)]
+    assert items == [(0, "text", "One & <two>", None, None), (1, "text", "Three", None, None), (2, "media", None, stored[0][0], media.WHOLE), (3, "text", "Four five", None, None), (4, "text", "six", None, None), (5, "media", None, stored[1][0], media.END)]
 
 
 def test_sequences_stay_in_order():
@@ -152,10 +175,12 @@ def test_sequences_stay_in_order():
 
 
 def test_unknown_digests_keep_nulls(spark):
-    df = spark.createDataFrame([(1, '<img src="cas:nope">')], "id long, html string")
-    docs, path = media.store(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "text", "doc_id")
-    got = media.resolve(media.sequences(df, "html", ["id"]), media.stored_facts(spark, path)).collect()
-    assert [(r["digest"], r["media_bytes"]) for r in got] == [("nope", None)]
+    objects = media.store(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "text")
+    known = objects.first()["digest"]
+    html = f'<p>x</p><img src="cas:{known}" alt="has it"><p>y</p><img src="cas:nope"><p>z</p><img src="http://h/i"><img src="cas:{known}">'
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<p>none</p>")], "id long, html string")
+    got = media.resolve(media.references(media.sequences(df, "html", ["id"])), media.stored_facts(objects)).orderBy("position").collect()
+    assert [(r["position"], r["digest"], r["n_bytes"], r["caption"]) for r in got] == [(1, known, 1, "has it"), (3, "nope", None, None), (5, None, None, None), (6, known, 1, None)]
 
 
 # ---- toxicity ----
