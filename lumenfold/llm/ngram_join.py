@@ -2,23 +2,26 @@
 
 Documents are sets of hashed word shingles. Equal sets collapse into one. Similar sets are partitioned into groups by
 the shared prefix token that most sets have; the matrix says which tokens occur in which group's prefixes, so a set
-finds the groups that may hold a partner by joining its prefix tokens with the matrix, never with other sets. A group (in
-chunks of bounded size) keeps its token union as counts over BUCKETS hash buckets of tokens, with each member's counts;
-bucket by bucket, what a set can share with a member is at most the smaller count. Only sets whose bound reaches the
-threshold with some member, and the members so reached, are opened: their tokens are read and counted exactly, again
-behind the bound of the opened members' exact union.
+finds the groups that may hold a partner by joining its prefix tokens with the matrix, never with other sets. Large groups
+are dealt into chunks of bounded size, each with its own rows of the matrix. A chunk keeps its token union as counts over
+BUCKETS hash buckets of tokens (the largest count that a member has), with each member's counts; bucket by bucket, what a
+set can share with a member is at most the smaller count. Only sets whose bound reaches the threshold with some member,
+and the members so reached, are opened: their tokens are read and compared exactly.
 
 Prefix rule, in any fixed order of tokens: of a set of n tokens, a partner shares `l` of the first n - ceil(0.85 n) + l;
 if the partner isn't smaller, `l` of the first n - ceil(2 * 0.85 / 1.85 n) + l, and only these enter the matrix. So the
 larger set of a pair finds the smaller one's group, by l tokens at least. The order puts tokens that are frequent within tasks last, then goes by hash; any order gives the same links.
 
-Within an opened chunk, sets are linked to pivots first, and only sets outside the largest component are counted
-against all members: sets in one component need no further links. A group of several chunks has its first member in
-each of them; members that don't reach its component visit all other chunks. So no pair of different texts is missed
-and no group's pairs are ever listed.
+In an opened chunk, members are linked to pivots first; the others, and visitors, find partners by an index over the
+members' rarest tokens in the chunk (of a set of n tokens, a partner has one of the first n - ceil(0.85 n) + 1), and
+candidates of one component are compared until one links. So a set emits one link for each component that it reaches,
+never one for each partner. A group of several chunks has its first member in each of them; members that don't reach its
+component visit the other chunks, found by the matrix, which for such groups holds the whole prefixes. So no pair of
+different texts is missed and no group's pairs are ever listed.
 
 Rows: null, empty or blank text = the empty set, linked with nothing. Rows that share a doc_id are one vertex. Rows
-with a null doc_id get the component of equal sets, if any, else null. Extra columns are ignored.
+with a null doc_id get the component of equal sets, if any, else null. Extra columns are ignored. Texts are read whole,
+however long: a set's tokens are one value of 8 bytes each.
 """
 
 from __future__ import annotations
@@ -35,7 +38,11 @@ LOCAL_TIMES = 3  # occurrences within a task that make a token a candidate for "
 FREQUENT = 12  # sets, as counted within tasks, that make a token frequent
 MOST_FREQUENT = 1 << 20  # frequent tokens sent to the workers (8 MB), the most frequent ones
 CHUNK_TOKENS = 1 << 21  # tokens of a chunk's members, about
+CHUNK_MEMBERS = 1 << 12  # members of a chunk, about
+SPREAD, SPREAD_CHUNKS = 256, 64  # a group has a chunk for each SPREAD members, up to SPREAD_CHUNKS of them before the bounds above ask for more
 BUCKETS = 256  # of the matrix's counts
+SMALL = BUCKETS // 4  # sets of fewer tokens take less room than their counts: their members are opened unasked
+TASK_ROWS = 1 << 16  # rows of places in a task, about
 BROADCAST_BYTES = 16 << 20  # of a written table that may be broadcast, at 8 bytes a value
 
 
@@ -89,14 +96,20 @@ class Bounds:
         return ((100 + self.per_cent) * shared >= self.per_cent * (self.sizes + size)) | self.full
 
     def members(self) -> None:
-        """Open the members that may link with another one."""
-        for i in range(len(self.ids)):
-            if not self.open[i]:
-                near = self.may(self.counts[i], self.sizes[i])
-                near[i] = False
-                if near.any():
-                    self.open |= near
-                    self.open[i] = True
+        """Open the members that may link with another one: of sizes near enough, in descending order."""
+        order = np.argsort(-self.sizes, kind="stable")
+        counts, sizes, full = self.counts[order], self.sizes[order], self.full[order]
+        opened = (sizes < SMALL) | full
+        least = np.searchsorted(-sizes, -(self.per_cent * sizes / 100), side="right")  # the first that is too small
+        for i in range(len(order)):
+            j = slice(i + 1, len(order) if full.any() else least[i])
+            if j.start >= j.stop or (opened[i] and opened[j].all()):
+                continue
+            shared = np.minimum(counts[j], counts[i]).sum(1, dtype=np.int64)
+            near = ((100 + self.per_cent) * shared >= self.per_cent * (sizes[j] + sizes[i])) | full[j] | full[i]
+            opened[j] |= near
+            opened[i] |= bool(near.any())
+        self.open[order] |= opened
 
     def visit(self, raw: bytes, size: int) -> bool:
         """Does the bound admit this set? Opens the members that it may link with."""
@@ -108,8 +121,8 @@ class Bounds:
         return bool(near.any())
 
 
-def admitted(rows: DataFrame, per_cent: int) -> DataFrame:
-    """The (id, place, visit) that the bounds admit, from rows (place, visit, id, n, counts)."""
+def admitted(rows: DataFrame, n: int, per_cent: int) -> DataFrame:
+    """The (id, place, visit) that the bounds admit, from n rows (place, visit, id, n, counts)."""
 
     def run(batches):
         import pyarrow as pa
@@ -151,90 +164,120 @@ def admitted(rows: DataFrame, per_cent: int) -> DataFrame:
         leave()
         yield batch_of(out)
 
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "place").sortWithinPartitions("place", "visit", "id").mapInArrow(run, "id long, place long, visit int")
+    return dealt(rows, n).mapInArrow(run, "id long, place long, visit int")
 
 
 # ---- in a chunk ----
 
 
 class Chunk:
-    """Members of one group chunk: their tokens' union and an index from tokens to members."""
+    """Members of one group chunk: an index from their rarest tokens, and the components that are known so far."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], per_cent: int):
         self.ids, self.sets, self.per_cent = ids, sets, per_cent
         self.sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
-        self.flat = flat[order]
-        first = np.flatnonzero(np.append(True, self.flat[1:] != self.flat[:-1]))
-        self.union, self.begin = self.flat[first], np.append(first, len(flat))
-        self.flat = None
-
-    def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Where the set's tokens that the union has lie in it."""
+        self.ends = np.cumsum(self.sizes)
+        self.flat = np.concatenate(sets)
+        self.union, place, self.count = np.unique(self.flat, return_inverse=True, return_counts=True)
+        # A token's rank: rarer ones first, then by value. A member's first tokens by rank are indexed.
+        rank = np.empty(len(self.union), np.int64)
+        rank[np.lexsort((self.union, self.count))] = np.arange(len(self.union))
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.lexsort((rank[place], owner))
+        nth = np.arange(len(order)) - np.repeat(self.ends - self.sizes, self.sizes)
+        kept = order[nth < np.repeat(self.prefix(self.sizes), self.sizes)]
+        kept = kept[np.argsort(place[kept], kind="stable")]
+        self.owner, tokens = owner[kept], place[kept]
+        self.begin = np.searchsorted(tokens, np.arange(len(self.union) + 1))
+        self.rank = rank
+        self.root = list(range(len(ids)))
+
+    def prefix(self, n):
+        """Of a set's n tokens, how many hold one that a partner has."""
+        return n - -(-self.per_cent * n // 100) + 1
+
+    def top(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def linked(self, tokens: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Which of the members link with the set."""
+        n = self.sizes[members]
+        stop = np.cumsum(n)
+        theirs = self.flat[np.arange(stop[-1]) + np.repeat(self.ends[members] - stop, n)]
+        at = np.searchsorted(tokens, theirs)
+        at[at == len(tokens)] = 0
+        shared = np.add.reduceat((tokens[at] == theirs).astype(np.int64), stop - n)
+        return 100 * shared >= self.per_cent * (n + len(tokens) - shared)
+
+    def candidates(self, tokens: np.ndarray) -> np.ndarray:
+        """Members that have one of the set's rarest tokens among theirs, and are of a size near enough. Tokens that the
+        chunk lacks are the rarest."""
         at = np.searchsorted(self.union, tokens)
         at[at == len(self.union)] = 0
-        return at[self.union[at] == tokens]
-
-    def partners(self, tokens: np.ndarray) -> np.ndarray:
-        """Members that link with the set; none unless the union's bound allows it."""
-        at = self.find(tokens)
-        if len(at) < need(len(tokens), self.per_cent):
+        at = at[self.union[at] == tokens]
+        room = self.prefix(len(tokens)) - (len(tokens) - len(at))
+        if room <= 0:
             return np.zeros(0, np.int64)
+        at = at[np.argsort(self.rank[at], kind="stable")[:room]]
         begin, size = self.begin[at], self.begin[at + 1] - self.begin[at]
         stop = np.cumsum(size)
-        shared = np.bincount(self.owner[np.arange(stop[-1]) + np.repeat(begin - (stop - size), size)], minlength=len(self.ids))
-        return np.flatnonzero(100 * shared >= self.per_cent * (self.sizes + len(tokens) - shared))
-
-    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        few, many = (a, b) if len(a) <= len(b) else (b, a)
-        if 100 * len(few) < self.per_cent * len(many):
-            return False
-        at = np.searchsorted(many, few)
-        at[at == len(many)] = 0
-        shared = int((many[at] == few).sum())
-        return 100 * shared >= self.per_cent * (len(a) + len(b) - shared)
+        own = np.unique(self.owner[np.arange(stop[-1]) + np.repeat(begin - (stop - size), size)])
+        n = self.sizes[own]
+        return own[(100 * np.minimum(n, len(tokens)) >= self.per_cent * np.maximum(n, len(tokens)))]
+
+    def reached(self, tokens: np.ndarray, own: int = -1) -> list[int]:
+        """One member of each component that the set links with; `own` is the set's place, if it is a member."""
+        found = []
+        rest = self.candidates(tokens)
+        lot = 16
+        while len(rest):
+            tops = np.array([self.top(i) for i in rest.tolist()])
+            rest = rest[~np.isin(tops, [self.top(i) for i in (found if own < 0 else [*found, own])])]
+            if len(rest):
+                part, rest = rest[:lot], rest[lot:]
+                lot *= 2
+                for i in part[self.linked(tokens, part)].tolist():
+                    if own >= 0 and self.top(i) != self.top(own) or own < 0 and self.top(i) not in {self.top(k) for k in found}:
+                        found.append(i)
+                        if own >= 0:
+                            self.root[self.top(i)] = self.top(own)
+        return found
 
     def inner(self) -> list[tuple[int, int]]:
         """Links that give the components of the members' link graph."""
-        n = len(self.ids)
-        root = list(range(n))
-
-        def top(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        out = []
-
-        def join(i, j):
-            a, b = top(i), top(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((self.ids[i], self.ids[j]))
-
-        rest = list(range(1, n))
+        out, n = [], len(self.ids)
+        rest = np.arange(1, n)
         pivot = 0
-        for _ in range(8):  # pivots; what they don't reach is counted below
-            left = []
-            for i in rest:
-                join(pivot, i) if self.linked(self.sets[pivot], self.sets[i]) else left.append(i)
-            if not left:
+        for _ in range(8):  # pivots; what they don't reach is looked up below
+            if not len(rest):
                 break
-            pivot, rest = left[0], left[1:]
-        tops = np.array([top(i) for i in range(n)])
+            hit = np.concatenate([self.linked(self.sets[pivot], rest[k : k + 256]) for k in range(0, len(rest), 256)])
+            for i in rest[hit].tolist():
+                if self.top(i) != self.top(pivot):
+                    self.root[self.top(i)] = self.top(pivot)
+                    out.append((self.ids[pivot], self.ids[i]))
+            rest = rest[~hit]
+            if len(rest):
+                pivot, rest = int(rest[0]), rest[1:]
+        tops = np.array([self.top(i) for i in range(n)])
         largest = np.bincount(tops).argmax()
         for i in np.flatnonzero(tops != largest).tolist():
-            for j in self.partners(self.sets[i]).tolist():
-                join(i, j)
+            out += [(self.ids[i], self.ids[j]) for j in self.reached(self.sets[i], i)]
         return out
 
 
-def open_chunks(rows: DataFrame, per_cent: int) -> DataFrame:
-    """Edges (src, dst) from rows (place, visit, id, tokens): members (visit 0) and visitors (visit 1) of each chunk.
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of places, about TASK_ROWS of n a task at most, each place's in order, members first."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+    return rows.repartition(parts, "place").sortWithinPartitions("place", "visit", "id")
+
+
+def open_chunks(rows: DataFrame, n: int, per_cent: int) -> DataFrame:
+    """Edges (src, dst) from n rows (place, visit, id, tokens): members (visit 0) and visitors (visit 1) of each chunk.
 
     A chunk's rows arrive in order, members first, so a task holds one chunk's members and one visitor at a time.
     """
@@ -264,7 +307,7 @@ def open_chunks(rows: DataFrame, per_cent: int) -> DataFrame:
                 if visit:
                     close()
                     if chunk is not None:
-                        edges.extend((doc, chunk.ids[j]) for j in chunk.partners(tokens).tolist())
+                        edges.extend((doc, chunk.ids[j]) for j in chunk.reached(tokens))
                 else:
                     ids.append(doc)
                     sets.append(tokens)
@@ -274,8 +317,7 @@ def open_chunks(rows: DataFrame, per_cent: int) -> DataFrame:
         close()
         yield batch_of(edges)
 
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "place").sortWithinPartitions("place", "visit", "id").mapInArrow(run, "src long, dst long")
+    return dealt(rows, n).mapInArrow(run, "src long, dst long")
 
 
 # ---- the join ----
@@ -371,7 +413,12 @@ def sets_of(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
 
 
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one per document."""
+    """Rows (doc_id, n_shingles, component_id), one per document, in a spooled table; working tables are deleted."""
+    with common.scope(documents.sparkSession):
+        return common.keep(common.spool(found_components(documents, id_col, text_col, shingle, per_cent), "join-components"))
+
+
+def found_components(documents: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
     spark = documents.sparkSession
     common.small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -395,43 +442,55 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.free_shuffles(spark)
     shared = common.spool(tokens.join(small(common_tokens), "token"), "join-shared")  # (token, id, index, df): tokens that may find a partner
     common.free_shuffles(spark)
-    # Groups: a set's home is its shared token in the matrix that most sets have.
+    # Groups: a set's home is its shared token in the matrix that most sets have; its chunk goes by a hash of the id.
     home = shared.where("index").groupBy("id").agg(F.max(F.struct("df", "token")).getField("token").alias("home"))
     home = common.spool(home.join(sets.select("id", "n"), "id"), "join-home")
-    # The matrix: tokens by groups, with the sizes of the members that bring the token.
-    near = small(home)
-    matrix = shared.where("index").select("token", "id").join(near, "id").groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    going = shared.select("token", "id").join(sets.select("id", "n"), "id").join(matrix, "token").where((F.col("least") <= F.col("n")) & (100 * F.col("most") >= per_cent * F.col("n")))
-    going = going.groupBy("id", "home").agg(F.count("*").alias("common")).where(F.col("common") >= least_shared(per_cent)).select("id", "home")
-    visits = common.spool(going.join(near.select("id", "home"), ["id", "home"], "left_anti"), "join-visits")
-
-    groups = common.spool(home.groupBy("home").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("chunks"), F.min("id").alias("pivot"), F.count("*").alias("size")), "join-groups")
+    spread = F.least(F.lit(SPREAD_CHUNKS), F.ceil(F.count("*") / SPREAD))
+    chunks = F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / CHUNK_MEMBERS), spread).cast("int")
+    groups = common.spool(home.groupBy("home").agg(chunks.alias("chunks"), F.min("id").alias("pivot"), F.count("*").alias("size")), "join-groups")
+    split = groups.where("chunks > 1")
+    is_split = bool(split.limit(1).count())
+    if is_split:
+        members = home.join(small(common.spool(split, "join-split")), "home", "left").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("id"), F.col("chunks"))).otherwise(0).cast("int"))
+        members = common.spool(members.select("id", "n", "home", "chunk", F.coalesce("chunks", F.lit(1)).alias("chunks")), "join-members")
+    else:
+        members = home.select("id", "n", "home", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"))
+    # The matrix: tokens by chunks, with the sizes of the members that bring the token.
+    near = small(members)
+    entries = shared.join(near, "id").where(F.col("index") | (F.col("chunks") > 1))
+    matrix = entries.groupBy("token", "home", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("chunks").alias("of"))
+    room = F.when(F.col("of") > 1, 100 * F.col("n") >= per_cent * F.col("least")).otherwise(F.col("least") <= F.col("n"))
+    going = shared.select("token", "id").join(sets.select("id", "n"), "id").join(matrix, "token").where((100 * F.col("most") >= per_cent * F.col("n")) & room)
+    going = going.groupBy("id", "home", "chunk").agg(F.count("*").alias("common")).where(F.col("common") >= least_shared(per_cent)).select("id", "home", "chunk")
+    visits = common.spool(going.join(near.select("id", "home", "chunk"), ["id", "home", "chunk"], "left_anti"), "join-visits")
     place: Column = F.xxhash64("home", "chunk")
-    members = home.join(small(groups), "home").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    pivots = groups.where("chunks > 1").select(F.col("pivot").alias("id"), "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    guests = visits.join(groups.select("home", "chunks"), "home").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # Members of split groups visit the other chunks of their own group later, if they have to.
+    if is_split:
+        own = near.select("id", "home", F.col("chunks").alias("of"))
+        later = common.spool(visits.join(own, ["id", "home"]).select("id", "home", "chunk"), "join-later")
+        visits = common.spool(visits.join(small(later), ["id", "home", "chunk"], "left_anti"), "join-others")
+    pivots = split.select(F.col("pivot").alias("id"), "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     # A group of one member without visitors has nothing to open.
     alive = groups.where("size > 1").select("home").union(visits.select("home")).distinct()
     inside = members.select("id", "home", "chunk").union(pivots).distinct().join(alive, "home")
-    places = common.spool(inside.select("id", place.alias("place"), F.lit(0).alias("visit")).union(guests.select("id", place.alias("place"), F.lit(1).alias("visit"))), "join-places")
+    places = common.spool(inside.select("id", place.alias("place"), F.lit(0).alias("visit")).union(visits.select("id", place.alias("place"), F.lit(1).alias("visit"))), "join-places")
     bounds = sets.select("id", "n", "counts")
 
     def edges_at(where: DataFrame) -> DataFrame:
         """Links found at the places that the bounds admit."""
-        kept = common.spool(admitted(bounds.join(small(where), "id").select("place", "visit", "id", "n", "counts"), per_cent), "join-admitted")
-        return common.spool(open_chunks(sets_of(docs, kept, shingle), per_cent), "join-edges")
+        kept = common.spool(admitted(bounds.join(small(where), "id").select("place", "visit", "id", "n", "counts"), where.count(), per_cent), "join-admitted")
+        return common.spool(open_chunks(sets_of(docs, kept, shingle), kept.count(), per_cent), "join-edges")
 
     edges = edges_at(places)
-    if groups.where("chunks > 1").limit(1).count():
-        # Members of a split group that its pivot's component doesn't hold visit the other chunks.
+    if is_split:
+        # Members of a split group that its pivot's component doesn't hold visit the chunks that the matrix names.
         reach = common.connected(spark, edges, "join-first")
-        split = members.where("chunks > 1").select("id", "home", "chunk", "chunks", "pivot").join(reach, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        lead = split.where("id = pivot").select("home", F.col("component").alias("lead"))
-        apart = split.join(lead, "home").where("component <> lead").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
-        again = members.where("chunks > 1").select("id", place.alias("place"), F.lit(0).alias("visit")).union(apart.select("id", F.xxhash64("home", "other").alias("place"), F.lit(1).alias("visit")))
+        lead = split.select("home", F.col("pivot").alias("id")).join(reach, "id", "left").select("home", F.coalesce("component", "id").alias("lead"))
+        apart = later.join(reach, "id", "left").join(lead, "home").where(F.coalesce("component", "id") != F.col("lead"))
+        again = members.where("chunks > 1").select("id", place.alias("place"), F.lit(0).alias("visit")).union(apart.select("id", place.alias("place"), F.lit(1).alias("visit")))
         edges = edges.union(edges_at(common.spool(again, "join-again")))
 
-    reach = common.spool(common.connected(spark, edges, "join"), "join-reach")
+    reach = common.connected(spark, edges, "join")
     classes = sets.select("key", "id").join(reach, "id", "left").select("key", F.coalesce("component", "id").alias("class"))
     # Rows that share a doc_id are one vertex: a doc_id's classes are its different sets' classes, all linked.
     ids = each.groupBy("doc_id").agg(F.countDistinct("key").alias("k")).where("k > 1 and doc_id is not null").select("doc_id")

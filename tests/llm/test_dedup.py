@@ -49,13 +49,14 @@ def truth(rows, shingle, per_cent):
     return sets, least
 
 
-@pytest.mark.parametrize("shingle,per_cent,chunk", [(4, 85, 1 << 21), (4, 85, 300), (5, 80, 300)])
-def test_components(spark, monkeypatch, shingle, per_cent, chunk):
+@pytest.mark.parametrize("shingle,per_cent,chunk,spread", [(4, 85, 1 << 21, 256), (4, 85, 300, 256), (5, 80, 1 << 21, 2)])
+def test_components(spark, monkeypatch, shingle, per_cent, chunk, spread):
     monkeypatch.setattr(ngram_join, "CHUNK_TOKENS", chunk)
-    rows = [(1000 - i, t) for i, t in enumerate(texts())]
+    monkeypatch.setattr(ngram_join, "SPREAD", spread)
+    rows = [(1000 - i, t) for i, t in enumerate([*texts(), " ".join(f"w{k}" for k in range(200_000))])]
     pick = random.Random(2)
     pick.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "key": F.lit("x"), "id": F.lit(0)}).repartition(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "key": F.lit("x"), "id": F.lit(0), "place": F.lit(1), "tokens": F.lit("t"), "counts": F.lit(2)}).repartition(4)
     got = ngram_join.components(df, shingle=shingle, per_cent=per_cent).collect()
     sets, least = truth(rows, shingle, per_cent)
     size = {d: len(s) for (d, _), s in zip(rows, sets)}
@@ -71,6 +72,44 @@ def test_components_of_odd_rows(spark):
     assert ngram_join.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_chunks_find_every_component():
+    draw = np.random.default_rng(1)
+    number = lambda n: draw.integers(0, 1 << 40, n).astype(np.uint64)
+    for per_cent in (85, 80, 100, 50) * 6:
+        base = [np.unique(number(draw.integers(1, 60))) for _ in range(6)]
+        sets = []
+        for _ in range(60):
+            b = base[draw.integers(6)]
+            sets.append(np.unique(np.concatenate([b[draw.permutation(len(b))[draw.integers(0, len(b) // 6 + 1) :]], number(draw.integers(0, 4))])))
+        links = lambda x, y: 100 * (k := len(np.intersect1d(x, y))) >= per_cent * (len(x) + len(y) - k)  # noqa: B023, E731
+        chunk = ngram_join.Chunk(list(range(40)), sets[:40], per_cent)
+        found = [{i} for i in range(40)]
+        edges = chunk.inner()
+        for a, b in edges:
+            assert links(sets[a], sets[b])
+            x, y = (next(c for c in found if i in c) for i in (a, b))
+            assert x is not y  # a link for each union, no more
+            found.remove(y)
+            x |= y
+        assert all(any({i, j} <= c for c in found) for i in range(40) for j in range(i) if links(sets[i], sets[j]))
+        for x in sets[40:]:
+            got = chunk.reached(x)
+            reach = [c for c in found if any(links(x, sets[i]) for i in c)]
+            assert all(links(x, sets[i]) for i in got) and sorted(min(c) for c in reach) == sorted(min(next(c for c in found if i in c)) for i in got)
+
+
+def test_bounds_admit_every_link():
+    draw = np.random.default_rng(2)
+    core = draw.integers(0, 1 << 62, 90)
+    sets = [np.unique(np.append(core[: draw.integers(60, 90)], draw.integers(0, 1 << 62, draw.integers(0, 60))).astype(np.uint64)) for _ in range(80)]
+    bounds = ngram_join.Bounds(list(range(80)), [len(x) for x in sets], [ngram_join.bucket_counts(x).tobytes() for x in sets], 85)
+    bounds.members()
+    for i in range(80):
+        if any(i != j and 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - k) for j in range(80)):
+            assert bounds.open[i]
+    assert not bounds.open.all()
+
+
 def test_suffix_arrays():
     pick = random.Random(3)
     for _ in range(120):
