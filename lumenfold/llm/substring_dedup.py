@@ -4,19 +4,23 @@ Windows of `size` bytes are dealt by anchors: a window's anchor is the smallest
 leftmost of equals). Equal windows have equal anchors at equal places, so a window's copies are all under its anchor.
 Consecutive windows with one anchor form a run; a run's bytes are its context.
 
-1. Runs are counted by (anchor, context). A context that occurs twice is repeated as a whole; an anchor with one
-   occurrence has nothing to compare. Only anchors with several different contexts stay open.
-2. One occurrence of each context of an open anchor brings its bytes. The contexts of an anchor are one lane of a
-   suffix array, built by linear grouping in lockstep over many anchors (suffix_groups). Neighbours in the array that
-   share `size` bytes are repeated. Windows whose hash is alone under its anchor are left out before, and of equal
-   stretches two copies are enough.
+1. Runs are counted by (anchor, context); both are 64-bit hashes, so runs of equal bytes collapse into one. A context
+   that occurs twice is repeated as a whole; an anchor with one occurrence has nothing to compare. Only anchors with
+   several different contexts stay open.
+2. One occurrence of each context of an open anchor brings its bytes. Every window holds the anchor and the bytes before
+   it, or those after it, up to half of the rest; contexts that share neither with another one are set aside. The others
+   are a lane of a suffix array, built by linear grouping in lockstep over many anchors (suffix_groups). Neighbours in the
+   array that agree in `size` bytes, compared as bytes, are repeated.
 3. An anchor with more than `split` contexts isn't gathered. Its runs are cut into blocks of BLOCK starts, aligned at the
    anchor. A block that occurs twice is repeated as a whole; a block whose core (the bytes that all its windows share)
-   occurs once has nothing to compare; the windows of the others are counted one by one, each a group of its own.
+   occurs once has nothing to compare; the windows of the others are dealt one by one, by their hashes, and two of each
+   hash are a lane of a suffix array, which decides for all.
 
+Hashes collapse copies and deal candidates; that different contexts repeat each other is found in suffix arrays alone.
 All counts are aggregated before they are shuffled. Matches are judged on the input; they never cross documents.
 
 Rows: null or empty text has no bytes and no spans; texts shorter than `size` keep all; repeated rows repeat each other.
+Extra columns are ignored. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -85,72 +89,93 @@ def all_runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, key long, anchor long, context long, first int, last int")
 
 
-def repeated_windows(groups: list[list[bytes]], size: int = SIZE) -> list[list[np.ndarray]]:
-    """For each group of contexts, which window starts of each are repeated in the group: by suffix arrays."""
+def twins(raw: bytes, begin: np.ndarray, end: np.ndarray, group: np.ndarray, anchor: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """Which contexts raw[begin:end] share their anchor and `side` bytes before it, or the rest of a window after it, with
+    another one of their group. Windows that do neither can't be equal."""
+    sums = rolling.prefix_sums(raw)
+    grams = rolling.windows(sums, gram)
+    lengths = end - begin
+    at = ranges(begin, lengths - gram + 1)
+    hit = np.flatnonzero(grams[at] == np.repeat(anchor, lengths - gram + 1))
+    first = hit[np.searchsorted(hit, np.cumsum(lengths - gram + 1) - (lengths - gram + 1))]
+    p = at[first]  # the leftmost occurrence is the anchor
+    side = (size - gram) // 2
+    out = np.zeros(len(begin), bool)
+    for has, a, b in ((p - begin >= side, p - side, p + gram), (p - (end - size) <= side, p, p + size - side)):
+        own = np.flatnonzero(has)
+        if len(own) > 1:
+            key = rolling.substrings(sums, a[own], b[own])
+            order = np.lexsort((key, group[own]))
+            same = (key[order][1:] == key[order][:-1]) & (group[own][order][1:] == group[own][order][:-1])
+            out[own[order[1:][same]]] = True
+            out[own[order[:-1][same]]] = True
+    return out
+
+
+def words_of(raw: bytes) -> np.ndarray:
+    """The eight bytes from each place, as one number."""
+    x = np.frombuffer(raw + bytes(8), np.uint8).astype(np.uint64)
+    out = np.zeros(len(raw) + 1, np.uint64)
+    for k in range(8):
+        out |= x[k : k + len(out)] << np.uint64(8 * k)
+    return out
+
+
+def agree(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Do the `size` bytes from a and from b agree?"""
+    out = np.ones(len(a), bool)
+    live = np.arange(len(a))
+    for k in [*range(0, size - 7, 8), size - 8] if size >= 8 else []:
+        live = live[words[a[live] + k] == words[b[live] + k]]
+    if size < 8:
+        mask = np.uint64((1 << 8 * size) - 1)
+        live = live[(words[a] & mask) == (words[b] & mask)]
+    out[:] = False
+    out[live] = True
+    return out
+
+
+def repeated_windows(groups: list[list[bytes]], anchors: list[int | None], size: int = SIZE, gram: int = GRAM) -> list[list[np.ndarray]]:
+    """For each group of contexts, which window starts of each are repeated in the group: by suffix arrays. A group without
+    an anchor is taken as it is."""
     flat = [c for g in groups for c in g]
     lengths = np.array([len(c) for c in flat])
     raw = b"".join(flat)
     begin = np.cumsum(lengths) - lengths
-    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    sums = rolling.prefix_sums(raw)
-    starts = ranges(begin, lengths - size + 1)
-    owner = np.repeat(np.arange(len(flat)), lengths - size + 1)
-    # Each text's hashes depend on the bytes alone, so equal windows agree wherever they lie.
-    hashes = rolling.substrings(sums, starts, starts + size)
-    of_window = np.zeros(len(raw) + 1, np.uint64)
-    of_window[starts] = hashes
-    # Windows whose hash is alone in their group can't be repeated.
-    order = np.lexsort((hashes, group[owner]))
-    same = (hashes[order][1:] == hashes[order][:-1]) & (group[owner][order][1:] == group[owner][order][:-1])
-    maybe = np.zeros(len(starts), bool)
-    maybe[order[1:][same]] = True
-    maybe[order[:-1][same]] = True
+    sizes = [len(g) for g in groups]
+    group = np.repeat(np.arange(len(groups)), sizes)
+    plain = np.repeat([a is None for a in anchors], sizes)
+    kept = plain.copy()
+    own = np.flatnonzero(~plain)
+    if len(own):
+        anchor = np.repeat(np.array([a or 0 for a in anchors], np.int64).view(np.uint64), sizes)[own]
+        kept[own] = twins(raw, begin[own], begin[own] + lengths[own], group[own], anchor, size, gram)
     found = np.zeros(len(raw), bool)
-    if maybe.any():
-        at, by = starts[maybe], owner[maybe]
-        opens = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (by[1:] != by[:-1])))
-        left = at[opens]
-        right = at[np.append(opens[1:], len(at)) - 1] + size
-        lane = group[by[opens]]
-        # Of equal stretches in a group, two stand for all.
-        content = rolling.substrings(sums, left, right)
-        sort = np.lexsort((content, lane))
-        equal = np.append(False, (content[sort][1:] == content[sort][:-1]) & (lane[sort][1:] == lane[sort][:-1]))
-        run_start = np.maximum.accumulate(np.where(equal, 0, np.arange(len(sort))))
-        rank = np.arange(len(sort)) - run_start
-        kept = np.sort(sort[rank < 2])
-        stand_in = np.empty(len(sort), np.int64)
-        stand_in[sort] = sort[run_start]
-        kl, kr, kg = left[kept], right[kept], lane[kept]
-        piece = kr - kl
-        # A lane is its stretches, each closed by a symbol of its own; the last of a lane is the smallest.
+    kept = np.flatnonzero(kept)
+    if len(kept):
+        left, piece, lane = begin[kept], lengths[kept], group[kept]
+        # A lane is its contexts, each closed by a symbol of its own; the last of a lane is the smallest.
         total = piece + 1
         whole = np.zeros(int(total.sum()), np.int64)
         stop = np.cumsum(total)
         body = ranges(stop - total, piece)
-        source = ranges(kl, piece)
-        per_lane = np.bincount(kg, minlength=len(groups))
+        source = ranges(left, piece)
+        per_lane = np.bincount(lane, minlength=len(groups))
         lanes = np.flatnonzero(per_lane)
         index = np.arange(len(kept)) - np.repeat(np.cumsum(per_lane[lanes]) - per_lane[lanes], per_lane[lanes])
         whole[stop - 1] = np.repeat(per_lane[lanes], per_lane[lanes]) - 1 - index
         whole[body] = np.frombuffer(raw, np.uint8)[source].astype(np.int64) + len(kept)
-        lane_sizes = np.bincount(kg, weights=total, minlength=len(groups))[lanes].astype(np.int64)
+        lane_sizes = np.bincount(lane, weights=total, minlength=len(groups))[lanes].astype(np.int64)
         array = suffix_arrays(whole, lane_sizes)
-        origin = np.full(len(whole), len(raw), np.int64)  # where a symbol came from, if a window starts there
-        room = np.zeros(len(whole), np.int64)
-        origin[body] = source
-        room[body] = np.repeat(kr, piece) - source
-        origin[room < size] = len(raw)
+        origin = np.full(len(whole), -1, np.int64)  # where a symbol came from, if a window starts there
+        room = np.repeat(left + piece, piece) - source >= size
+        origin[body[room]] = source[room]
         a, b = origin[array[:-1]], origin[array[1:]]
         lane_of = np.repeat(np.arange(len(lanes)), lane_sizes)[array]
-        match = (a < len(raw)) & (b < len(raw)) & (of_window[a] == of_window[b]) & (lane_of[1:] == lane_of[:-1])
-        hit = np.zeros(len(raw) + 1, bool)
-        hit[a[match]] = True
-        hit[b[match]] = True
-        hit[len(raw)] = False
-        # Stretches that others stand for take over what was found in the first of them.
-        counts = right - left - size + 1
-        found[ranges(left, counts)] = hit[ranges(left[stand_in], counts)]
+        near = np.flatnonzero((a >= 0) & (b >= 0) & (lane_of[1:] == lane_of[:-1]))
+        near = near[agree(words_of(raw), a[near], b[near], size)]
+        found[a[near]] = True
+        found[b[near]] = True
     out, k = [], 0
     for g in groups:
         out.append([found[begin[k + i] : begin[k + i] + lengths[k + i] - size + 1] for i in range(len(g))])
@@ -170,41 +195,41 @@ def spans_of(mask: np.ndarray, size: int) -> list[tuple[int, int]]:
 SPANS = "array<struct<a:int,b:int>>"
 
 
-def by_suffix_arrays(contexts: DataFrame, size: int) -> DataFrame:
-    """Rows (anchor, context, spans) from (anchor, context, bytes): an anchor's contexts come in order, `split` at most."""
+def by_suffix_arrays(contexts: DataFrame, size: int, gram: int) -> DataFrame:
+    """Rows (lane, name, spans) from (lane, name, anchor, bytes): a lane's texts come in order, `split` at most."""
 
     def run(batches):
         import pyarrow as pa
 
         pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         waiting: dict[int, tuple[int, list]] = {}  # groups by the binary order of their size, so that lanes are alike
-        place, names, texts = None, [], []
+        place, at, names, texts = None, None, [], []
 
         def solve(lot):
             rows = []
-            for (anchor, own, _), masks in zip(lot, repeated_windows([x[2] for x in lot], size)):
-                rows += [(anchor, c, [{"a": a, "b": b} for a, b in spans_of(m, size)]) for c, m in zip(own, masks) if m.any()]
+            for (lane, _, own, _), masks in zip(lot, repeated_windows([x[3] for x in lot], [x[1] for x in lot], size, gram)):
+                rows += [(lane, c, [{"a": a, "b": b} for a, b in spans_of(m, size)]) for c, m in zip(own, masks) if m.any()]
             cols = list(zip(*rows)) if rows else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pair)], names=["anchor", "context", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pair)], names=["lane", "name", "spans"])
 
         def close():
             if len(texts) > 1:
                 bits = sum(map(len, texts)).bit_length()
                 n, lot = waiting.get(bits, (0, []))
-                lot.append((place, names, texts))
+                lot.append((place, at, names, texts))
                 waiting[bits] = n + sum(map(len, texts)), lot
                 if waiting[bits][0] >= BATCH_SYMBOLS:
                     return waiting.pop(bits)[1]
             return None
 
         for batch in batches:
-            for anchor, context, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if anchor != place:
+            for lane, name, anchor, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if lane != place:
                     if lot := close():
                         yield solve(lot)
-                    place, names, texts = anchor, [], []
-                if not names or names[-1] != context:
-                    names.append(context)
+                    place, at, names, texts = lane, anchor, [], []
+                if not names or names[-1] != name:
+                    names.append(name)
                     texts.append(raw)
         if lot := close():
             yield solve(lot)
@@ -212,11 +237,12 @@ def by_suffix_arrays(contexts: DataFrame, size: int) -> DataFrame:
             yield solve(lot)
 
     parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, f"anchor long, context long, spans {SPANS}")
+    rows = contexts.select("lane", "name", "anchor", "bytes").repartition(parts, "lane").sortWithinPartitions("lane", "name")
+    return rows.mapInArrow(run, f"lane long, name long, spans {SPANS}")
 
 
-def blocks_of(sums: np.ndarray, grams: np.ndarray, windows: np.ndarray, anchor: int, first: int, last: int, size: int) -> list[tuple]:
-    """The blocks of a run: number, core hash, hash, offset of the first start in the run, hashes of its windows."""
+def blocks_of(raw: bytes, sums: np.ndarray, grams: np.ndarray, anchor: int, first: int, last: int, size: int) -> list[tuple]:
+    """The blocks of a run: bytes, number, core hash, hash, offset of the first start in the run."""
     p = first + int(np.flatnonzero(grams[first : first + size] == np.int64(anchor).view(np.uint64))[0])
     low = first
     out = []
@@ -225,23 +251,30 @@ def blocks_of(sums: np.ndarray, grams: np.ndarray, windows: np.ndarray, anchor:
         high = min(last, p + BLOCK * b + BLOCK - 1)
         base = p + BLOCK * b
         core, block = rolling.substrings(sums, np.array([base + BLOCK - 1, low]), np.array([base + size, high + size])).view(np.int64).tolist()
-        out.append((b, core, block ^ (low - base), low - first, windows[low : high + 1]))
+        out.append((raw[low : high + size], b, core, block ^ (low - base), low - first))
         low = high + 1
     return out
 
 
-def by_windows(each: DataFrame, size: int) -> DataFrame:
-    """Rows (anchor, context, spans) from the blocks (anchor, context, times, b, core, block, at, hashes) of anchors that
-    have too many contexts to gather."""
-    kinds = each.groupBy("anchor", "b", "core", "block").agg(F.sum("times").alias("times"), F.first("hashes").alias("hashes"))
-    cores = kinds.groupBy("anchor", "b", "core").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").select("anchor", "b", "core", "kinds")
-    kinds = common.spool(kinds.join(cores, ["anchor", "b", "core"]), "blocks")
-    whole = kinds.where("times > 1").select("anchor", "b", "core", "block", F.array(F.struct(F.lit(0).alias("a"), (F.size("hashes") - 1 + size).alias("b"))).alias("spans"))
-    windows = kinds.where("kinds > 1").select("anchor", "b", "core", "block", "times", F.posexplode("hashes").alias("i", "hash"))
-    again = windows.groupBy("anchor", "b", "core", "hash").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-    hits = windows.where("times = 1").join(again, ["anchor", "b", "core", "hash"]).groupBy("anchor", "b", "core", "block").agg(F.collect_list("i").alias("i"))
-    hits = hits.select("anchor", "b", "core", "block", F.transform("i", lambda s: F.struct(s.alias("a"), (s + size).alias("b"))).alias("spans"))
-    found = each.select("anchor", "context", "b", "core", "block", "at").join(whole.union(hits), ["anchor", "b", "core", "block"])
+def by_windows(each: DataFrame, size: int, gram: int) -> DataFrame:
+    """Rows (anchor, context, spans) from the blocks (anchor, context, times, bytes, b, core, block, at) of anchors that have
+    too many contexts to gather."""
+    at = ["anchor", "b", "core"]
+    kinds = each.groupBy(*at, "block").agg(F.sum("times").alias("times"), F.first("bytes").alias("bytes"))
+    cores = kinds.groupBy(*at).agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").select(*at, "kinds")
+    kinds = common.spool(kinds.join(cores, at), "blocks")
+    whole = kinds.where("times > 1").select(*at, "block", F.array(F.struct(F.lit(0).alias("a"), F.length("bytes").alias("b"))).alias("spans"))
+    window = F.substring("bytes", F.col("i") + 1, F.lit(size))
+    windows = kinds.where("kinds > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.length("bytes") - size))).select(*at, "block", "times", "i", F.xxhash64(window).alias("hash"))
+    # Two windows of each hash are a lane: the array says whether they are equal.
+    dealt = windows.groupBy(*at, "hash").agg(F.count("*").alias("n"), F.min(F.struct("block", "i")).alias("low"), F.max(F.struct("block", "i")).alias("high")).where("n > 1")
+    dealt = common.spool(dealt.withColumn("lane", F.xxhash64(*at, "hash")), "window-lanes")
+    two = dealt.select("lane", *at, F.explode(F.array("low", "high")).alias("r")).select("lane", *at, "r.block", "r.i").join(kinds.select(*at, "block", "bytes"), [*at, "block"])
+    equal = by_suffix_arrays(two.select("lane", F.col("block").alias("name"), F.lit(None).cast("long").alias("anchor"), window.alias("bytes")), size, gram).select("lane").distinct()
+    again = dealt.join(equal, "lane").select(*at, "hash")
+    hits = windows.where("times = 1").join(again, [*at, "hash"]).groupBy(*at, "block").agg(F.collect_list("i").alias("i"))
+    hits = hits.select(*at, "block", F.transform("i", lambda s: F.struct(s.alias("a"), (s + size).alias("b"))).alias("spans"))
+    found = each.select("anchor", "context", "b", "core", "block", "at").join(whole.union(hits), [*at, "block"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
     return found.select("anchor", "context", moved.alias("spans")).groupBy("anchor", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -253,7 +286,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, size: int, gram: int, split: int)
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("times", pa.int64()), ("bytes", pa.binary()), ("b", pa.int32()), ("core", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("times", pa.int64()), ("bytes", pa.binary()), ("b", pa.int32()), ("core", pa.int64()), ("block", pa.int64()), ("at", pa.int32())])
         for batch in batches:
             rows = []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -262,20 +295,26 @@ def fetch(docs: DataFrame, wanted: DataFrame, size: int, gram: int, split: int)
                 for r in own:
                     head = (r["anchor"], r["context"], r["n"])
                     if r["contexts"] <= split:
-                        rows.append((*head, raw[r["first"] : r["last"] + size], None, None, None, None, None))
+                        rows.append((*head, raw[r["first"] : r["last"] + size], None, None, None, None))
                         continue
                     if sums is None:
                         sums = rolling.prefix_sums(raw)
-                        grams, hashes = rolling.windows(sums, gram), rolling.windows(sums, size).view(np.int64)
-                    rows += [(*head, None, *x) for x in blocks_of(sums, grams, hashes, r["anchor"], r["first"], r["last"], size)]
+                        grams = rolling.windows(sums, gram)
+                    rows += [(*head, *x) for x in blocks_of(raw, sums, grams, r["anchor"], r["first"], r["last"], size)]
             cols = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return docs.join(wanted, ["id", "key"]).select("text", "runs").mapInArrow(run, "anchor long, context long, times long, bytes binary, b int, core long, block long, at int, hashes array<long>")
+    return docs.join(wanted, ["id", "key"]).select("text", "runs").mapInArrow(run, "anchor long, context long, times long, bytes binary, b int, core long, block long, at int")
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
-    """Rows (id, key, spans) of the documents (id, key, text) that have repeated bytes; spans may overlap."""
+    """Rows (id, key, spans) of the documents (id, key, text) that have repeated bytes; spans may overlap. A spooled table;
+    working tables are deleted."""
+    with common.scope(docs.sparkSession):
+        return common.keep(common.spool(found_spans(docs, size, gram, split), "spans"))
+
+
+def found_spans(docs: DataFrame, size: int, gram: int, split: int) -> DataFrame:
     spark = docs.sparkSession
     found = common.spool(all_runs(docs, size, gram), "runs")
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("n"))
@@ -290,7 +329,8 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: i
     wanted = one_each.select("r.id", "r.key", F.struct("anchor", "context", "r.first", "r.last", "r.n", "r.contexts").alias("run")).groupBy("id", "key").agg(F.collect_list("run").alias("runs"))
     got = common.spool(fetch(docs, wanted, size, gram, split), "contexts")
     common.free_shuffles(spark)
-    parts = by_suffix_arrays(got.where("bytes is not null").select("anchor", "context", "bytes"), size).union(by_windows(got.where("bytes is null").drop("bytes"), size))
+    lanes = got.where("b is null").select(F.col("anchor").alias("lane"), F.col("context").alias("name"), "anchor", "bytes")
+    parts = by_suffix_arrays(lanes, size, gram).toDF("anchor", "context", "spans").union(by_windows(got.where("b is not null"), size, gram))
     parts = common.spool(parts, "parts")
     common.drop_spool(got)
     common.free_shuffles(spark)
@@ -298,8 +338,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: i
     whole = places.where("n > 1").select("id", "key", F.array(F.struct(F.col("first").alias("a"), (F.col("last") + size).alias("b"))).alias("spans"))
     partly = places.where("n = 1 and contexts > 1").join(parts, ["anchor", "context"])
     partly = partly.select("id", "key", F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
-    out = whole.union(partly).groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return common.spool(out, "spans")
+    return whole.union(partly).groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def united(spans: list[dict] | None) -> list[tuple[int, int]]:

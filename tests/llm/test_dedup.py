@@ -125,6 +125,29 @@ def test_suffix_arrays():
             at += len(x)
 
 
+def test_neighbours_are_compared_as_bytes():
+    pick = random.Random(5)
+    raw = bytes(pick.choice(b"ab") for _ in range(400))
+    words = substring_dedup.words_of(raw)
+    a, b = np.array([pick.randrange(300) for _ in range(3000)]), np.array([pick.randrange(300) for _ in range(3000)])
+    for size in (1, 3, 8, 9, 13, 40):
+        assert substring_dedup.agree(words, a, b, size).tolist() == [raw[x : x + size] == raw[y : y + size] for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_the_suffix_array_decides(monkeypatch):
+    """With a wrong array nothing is found: no other step marks windows."""
+    pick = random.Random(6)
+    some = lambda n: bytes(pick.choice(b"abcdefgh") for _ in range(n))
+    passage = some(60)
+    groups = [[some(30) + passage + some(20), some(25) + passage + some(35), some(140)], [some(100), some(90)]]
+    found = substring_dedup.repeated_windows(groups, [None, None], 40, 8)
+    assert [[int(m.sum()) for m in g] for g in found] == [[21, 21, 0], [0, 0]]
+    for broken in (lambda symbols, sizes: np.arange(len(symbols)), lambda symbols, sizes: np.argsort(np.arange(len(symbols)) * 7919 % 10007)):
+        monkeypatch.setattr(substring_dedup, "suffix_arrays", broken)
+        wrong = substring_dedup.repeated_windows(groups, [None, None], 40, 8)
+        assert [[int(m.sum()) for m in g] for g in wrong] != [[21, 21, 0], [0, 0]]
+
+
 def passages():
     pick = random.Random(7)
     some = lambda n: "".join(pick.choice("abcdé ") for _ in range(n))
@@ -132,7 +155,7 @@ def passages():
     out = [None, "", "short", "a" * 450, "ab" * 300, "x" * 199, "x" * 200]
     for k in range(70):
         out.append(some(pick.randint(0, 500)) + shared[k % 5] + some(pick.randint(0, 300)) + (shared[(k * 3) % 5] if k % 4 == 0 else ""))
-    return out + [out[9], out[9], out[30][:400], "z" + out[31]]
+    return out + [out[9], out[9], out[30][:400], "z" + out[31], "".join(pick.choice("abcdefghij") for _ in range(300_000)) + shared[4]]
 
 
 @pytest.mark.parametrize("size,gram,split", [(200, 24, 256), (200, 24, 2), (40, 8, 3)])
@@ -149,7 +172,7 @@ def test_repeated_passages(spark, size, gram, split):
         for k in range(len(raw) - size + 1):
             if counts[raw[k : k + size]] > 1:
                 gone[k : k + size] = True
-        rest = bytes(x for x, g in zip(raw, gone) if not g)
+        rest = np.frombuffer(raw, np.uint8)[~gone[:-1]].tobytes()
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) == (len(raw), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest)
     assert substring_dedup.dedup(df.limit(0), size=size, gram=gram).count() == 0
