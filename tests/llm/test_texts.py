@@ -115,13 +115,55 @@ def test_marks_of_whole_pages():
     assert html_text.main_text('<body><div hidden class="with-sidebar"><article>No</article></div><aside><main>No</main></aside><article role="dialog">No</article>') == ""
 
 
+BODY = "<h1>Two words</h1><p>" + "some words of text here " * 12 + "</p><p>" + "more words of text there " * 12 + "</p>"
+SHORT = "<article><h1>Head</h1><p>" + "some words of text here " * 5 + "</p><p>End.</p></article>"
+
+
+@pytest.mark.parametrize("around", ['<div aria-hidden="false">%s</div>', '<div data-id="comments">%s</div>', '<div title="class=ad hidden">%s</div>', '<div class="layout no-sidebar">%s</div>', '<body class="has-ads">%s', '<main class="related-article">%s</main>', '<form id="aspnetForm">%s</form>', '<div class="toggle-menu with_comments">%s</div>', '<div class="ad-free widget-area">%s</div>'])
+def test_marks_that_dont_mark(around):
+    for body, text in ((BODY, "Two words some words"), (SHORT, "Head some words")):
+        if "widget" not in around or body is SHORT:
+            assert html_text.main_text(around % body).startswith(text) and html_text.main_text(around % body).endswith("there" if body is BODY else "End.")
+
+
+@pytest.mark.parametrize("advert", ['<p class="advert">Buy this now please</p>', "<p hidden>Buy", '<p>Text<span class="ad">Buy <span>this</span> now</span></p>', '<p>Text<b style="display: none">Buy</b></p>', '<div class="comments-list"><p>Buy</p></div>', '<form><p>Buy</p></form>', '<div role="search">Buy</div>'])
+def test_marked_elements_go(advert):
+    got = html_text.main_text(SHORT.replace("<p>End", advert + "<p>End"))
+    assert "Buy" not in got and "now" not in got and got.endswith("End.") and ("Text" in got) == ("Text" in advert)
+
+
+def test_counts_and_densities_decide_without_marks():
+    """Pages of other word counts than the labelled ones, without marks or an article element."""
+    pick = random.Random(9)
+    right = total = 0
+    for _ in range(200):
+        text = lambda n: " ".join(["w"] * n)
+        want, page = [], ""
+        for kind in ["link"] * pick.randint(1, 6) + ["scrap"] * pick.randint(0, 2) + ["heading"] + ["text"] * pick.randint(1, 6) + ["scrap"] * pick.randint(0, 2) + ["link"] * pick.randint(0, 5):
+            n = {"link": pick.randint(1, 4), "scrap": pick.randint(1, 5), "heading": pick.randint(1, 10), "text": pick.randint(20, 200)}[kind]
+            page += {"link": f"<div><a href=x>{text(n)}</a></div>", "scrap": f"<div>{text(n)}</div>", "heading": f"<h1>{text(n)}</h1>", "text": f"<p>{text(n)}</p>"}[kind]
+            want.append(kind in ("heading", "text"))
+        got = html_text.decide(html_text.tree(), html_text.features(html_text.blocks(page)))
+        right, total = right + int((got == np.array(want)).sum()), total + len(want)
+    assert right / total > 0.95
+    used = set()
+    todo = [html_text.tree()]
+    while todo:
+        node = todo.pop()
+        if not isinstance(node, int):
+            used.add(html_text.FEATURES[node[0]])
+            todo += node[2:]
+    assert {"words", "links"} <= used and used & {"words_before", "words_after", "links_before", "links_after"}
+
+
 def test_the_tree_fits_its_table():
-    x, y = html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1] == 1
-    assert (html_text.decide(html_text.tree(), x) == y).mean() > 0.97
+    x, y = html_text.labelled()
+    assert len(x) > 100 and (html_text.decide(html_text.tree(), x) == (y == 1)).mean() > 0.97
 
 
 def test_extract(spark):
-    df = spark.createDataFrame([(1, ARTICLE, "a"), (2, None, "b"), (2, "", "b"), (None, "<p", "c")], "page_id long, html string, text string")
+    assert html_text.main_text("<article>" + "<p>a b c d e f g h i j k l.</p>" * 50_000 + "</article>").count(".") == 50_000
+    df = spark.createDataFrame([(1, ARTICLE, "a"), (2, None, "b"), (2, "", "b"), (None, "<p", "c")], "page_id long, html string, text string").withColumn("n_chars", F.lit("clash"))
     got = {(r["page_id"], r["text"]): r["n_chars"] for r in html_text.extract(df.select("page_id", "html"), "html", ["page_id"]).collect()}
     assert got == {(1, "Head&line First para Second é! link. End."): 41, (2, ""): 0, (None, ""): 0}
     assert html_text.extract(df.limit(0), "html", ["page_id"]).count() == 0
