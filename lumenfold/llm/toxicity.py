@@ -5,11 +5,15 @@ letters, separators between letters, repeated letters) turn each suspicious stre
 decoding restores the likeliest letters. The restored text is scored by a small linear model over words and word
 beginnings.
 
+Words cut into fragments by spaces (`mo ron`) are sought among the words that the scorer knows, and joined where the
+language model finds the joined reading likelier.
+
 The scorer learns from a bounded sample of labelled rows: TRAIN_PER_CLASS rows per class, by hash of the id, held-out
 rows excluded. Language-model counts cover every document. Labels, language, source and id are never inputs of a score.
 
 Rows: null or empty text has no words and gets the base score; a null id is never held out; rows repeated in `labels`
-count once, toxic if any says so; null labels are skipped; without labels of both classes the score is 0.
+count once, toxic if any says so; null labels are skipped; of documents that share an id the one of the smallest text is
+learnt from; without labels of both classes the score is 0. Texts and tokens of any length are decoded whole.
 """
 
 from __future__ import annotations
@@ -26,10 +30,8 @@ from .decontaminate import FOLD
 
 TRAIN_PER_CLASS = 4000  # labelled rows of each class that the scorer learns from
 MIN_DOCS = 8  # positive documents a feature needs
-MOST_FEATURES = 256
-MOST_CANDIDATES = 20_000
 PREFIXES = (4, 5, 6)
-LONGEST_WORD = 24  # letters of a whole word that is a feature
+LONGEST_WORD = 40  # letters of a word that is learnt from letters set apart; in scoring, the longest feature counts
 CACHE = 100_000  # tokens in one of the memo's two generations
 THRESHOLD = 0.3
 
@@ -92,6 +94,7 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 SEPARATORS = " .-_*~'"
 COST_SIGN, COST_DROP, COST_REPEAT, COST_JOIN = 1.5, 1.0, 0.5, 6.0  # bits
 COST_SPLIT = 2.0
+COST_FRAGMENT = 6.0  # of a space inside a word
 #: Trigrams alone seldom tell where words end. So a word's end that is less likely by up to this many bits may be one too:
 #: the text has the likeliest reading, the features are those of each word that may lie between two such ends.
 DOUBT = 4.0
@@ -159,8 +162,8 @@ def viterbi(token: str, model: np.ndarray, split: float = COST_SPLIT) -> str:
     return "".join(reversed(out))
 
 
-def possible_words(stretch: str, model: np.ndarray) -> list[str]:
-    """The words that may lie in letters set apart by separators."""
+def possible_words(stretch: str, model: np.ndarray, longest: int = LONGEST_WORD) -> list[str]:
+    """The words of up to `longest` letters that may lie in letters set apart by separators, and all the letters as one."""
     out: list[str] = []
     for said in words(viterbi(stretch, model, math.inf)):
         letters = said.decode(errors="replace")
@@ -173,8 +176,8 @@ def possible_words(stretch: str, model: np.ndarray) -> list[str]:
                 ends.append(k)
         ends.append(len(letters))
         for i, k in enumerate(ends):
-            for j in ends[i + 1 : i + 1 + LONGEST_WORD]:
-                if j - k <= LONGEST_WORD:
+            for j in ends[i + 1 : i + 1 + longest]:
+                if j - k <= longest:
                     out.append(letters[k:j])
         out.append(letters)
     return out
@@ -186,10 +189,10 @@ def restored_token(token: str, model: np.ndarray) -> str:
     return token.replace(core, viterbi(core, model), 1) if core and SUSPICIOUS.search(core) else token
 
 
-def other_words(token: str, model: np.ndarray) -> str:
+def other_words(token: str, model: np.ndarray, longest: int = LONGEST_WORD) -> str:
     """What a token may be besides its restored form: itself, and the words of letters set apart."""
     core = token.strip(".,;:?!\"'()[]{}<>")
-    return " ".join([token, *(possible_words(core, model) if len(core) > 2 and core[1] in SEPARATORS and SUSPICIOUS.search(core) else ())])
+    return " ".join([token, *(possible_words(core, model, longest) if len(core) > 2 and core[1] in SEPARATORS and SUSPICIOUS.search(core) else ())])
 
 
 def evened(m: re.Match) -> str:
@@ -201,14 +204,14 @@ def evened(m: re.Match) -> str:
     return GAP.sub(lambda _: next(marks), m[0])
 
 
-def tokens(text: str, model: np.ndarray, others: list[str] | None = None) -> list[str]:
+def tokens(text: str, model: np.ndarray, others: list[str] | None = None, longest: int = LONGEST_WORD) -> list[str]:
     """White-space tokens of the lower-cased text; letters set apart by white space are decoded into words. The words
     that may lie in them are added to `others`."""
 
     def decode(m: re.Match) -> str:
         stretch = evened(m)
         if others is not None:
-            others.extend(possible_words(stretch, model))
+            others.extend(possible_words(stretch, model, longest))
         return viterbi(stretch, model)
 
     return APART.sub(decode, text.lower()).split()
@@ -219,6 +222,34 @@ def restore(text: str | None, model: np.ndarray) -> str:
     return " ".join(restored_token(t, model) for t in tokens(text or "", model))
 
 
+def likelihood(text: str, model: np.ndarray) -> float:
+    """log2 of the model's probability of a text between word ends."""
+    z = [0, 0, *symbol_table()[[min(ord(c), 0xFFFF) for c in text]].tolist(), 0]
+    return sum(float(model[a, b, c]) for a, b, c in zip(z, z[1:], z[2:]))
+
+
+class Fragments:
+    """Finds words of a list that spaces have cut in two or more."""
+
+    def __init__(self, model: np.ndarray, whole: set[str]):
+        self.model, self.whole = model, {w for w in whole if len(w) > 3}
+        self.heads = {w[:k] for w in self.whole for k in range(1, len(w))}
+
+    def find(self, own: list[str]) -> list[tuple[int, int, str]]:
+        """(first, stop, word) of the tokens that are likelier one word than several."""
+        out, heads = [], self.heads
+        for i in [i for i, t in enumerate(own) if t in heads]:
+            said = own[i]
+            for j in range(i + 1, len(own)):
+                end = own[j].rstrip(".,;:?!\"')]}")
+                said += end
+                if said in self.whole and likelihood(said, self.model) - COST_FRAGMENT > likelihood(" ".join([*own[i:j], end]), self.model):
+                    out.append((i, j + 1, said))
+                if said not in heads or end != own[j]:
+                    break
+        return out
+
+
 # ---- the scorer ----
 
 
@@ -230,8 +261,7 @@ def marks(found: set[bytes]) -> set[str]:
     """Features of a set of words: the words and the beginnings of longer ones."""
     out = set()
     for w in (x.decode(errors="replace") for x in found):
-        if len(w) <= LONGEST_WORD:
-            out.add(f"={w}")
+        out.add(f"={w}")
         out.update(f"^{w[:k]}" for k in PREFIXES if len(w) >= k)
     return out
 
@@ -250,7 +280,7 @@ def training_marks(docs: DataFrame, labels: DataFrame, model, per_class: int = T
     known = known.where(~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     sample = spark.createDataFrame([tuple(r) for part in picked for r in part.collect()], "doc_id long, toxic int")  # 2 x per_class rows at most
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -262,39 +292,53 @@ def training_marks(docs: DataFrame, labels: DataFrame, model, per_class: int = T
     return chosen.groupBy(F.md5("text").alias("same")).agg(F.min("doc_id").alias("doc"), F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("doc", "toxic", "text").mapInArrow(run, "doc long, toxic int, marks array<string>")
 
 
-def fit(sample: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """(features, weights, bias) from training rows (doc, toxic, marks), a bounded sample."""
+def fit(sample: DataFrame) -> tuple[list[str], np.ndarray, float, list[str]]:
+    """(features, weights, bias, words that the features stand for) from training rows (doc, toxic, marks), a bounded sample."""
     sample = common.spool(sample, "toxic-marks")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        return [], np.zeros(0), -99.0
+        return [], np.zeros(0), -99.0, []
     each = sample.select("doc", "toxic", F.explode("marks").alias("mark"))
     counted = each.groupBy("mark").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     share = F.col("p") / n1 - 4 * F.col("q") / n0
-    kept = counted.where((F.col("p") >= min(MIN_DOCS, max(2, n1 // 10))) & (share > 0)).orderBy(share.desc(), "mark").limit(MOST_CANDIDATES)
-    hits = each.join(F.broadcast(kept.select("mark")), "mark").groupBy("mark").agg(F.collect_list("doc").alias("docs")).orderBy("mark").collect()
+    least = min(MIN_DOCS, max(2, n1 // 10))
+    kept = counted.where((F.col("p") >= least) & (share > 0)).select("mark")
+    hits = each.join(kept, "mark").groupBy("mark").agg(F.collect_set("doc").alias("docs")).orderBy("mark").toArrow()  # of the sample's rows
     rows = sorted((r["doc"], r["toxic"]) for r in sample.select("doc", "toxic").collect())
-    place = {d: k for k, (d, _) in enumerate(rows)}
     y = np.array([t for _, t in rows], float)
-    has = {r["mark"]: np.array([place[d] for d in r["docs"]]) for r in hits}
-    chosen: list[str] = []
-    open_rows = np.ones(len(y), bool)
-    ratio = 4 * n1 / n0
-    while has and len(chosen) < MOST_FEATURES:  # greedy cover of the positives, negatives against
-        gain = {m: (y[d] * open_rows[d]).sum() - ratio * (1 - y[d]).sum() for m, d in has.items()}
-        mark = max(gain, key=lambda m: (gain[m], m[0] == "^", len(m), m))
-        if gain[mark] < min(MIN_DOCS, max(2, n1 // 10)):
-            break
-        chosen.append(mark)
-        open_rows[has.pop(mark)] = False
-        has = {m: d for m, d in has.items() if gain[m] > 0}
-    kept_hits = {r["mark"]: r["docs"] for r in hits}
+    marks_of, found = hits.column("mark").to_pylist(), hits.column("docs").combine_chunks()
+    lists = np.asarray(found.offsets), np.searchsorted(np.array([d for d, _ in rows]), np.asarray(found.values))
+    chosen = cover(marks_of, *lists, y, 4 * n1 / n0, least)
     x = np.zeros((len(y), len(chosen)))
     for k, m in enumerate(chosen):
-        x[[place[d] for d in kept_hits[m]], k] = 1
+        x[lists[1][lists[0][m] : lists[0][m + 1]], k] = 1
     w, b = logistic(x, y)
-    return chosen, w, b
+    features = [marks_of[m] for m in chosen]
+    own = F.col("mark").isin(features)
+    for k in PREFIXES:
+        own = own | F.concat(F.lit("^"), F.substring("mark", 2, k)).isin(features)
+    known = counted.where(F.col("mark").startswith("=") & own & (F.col("p") >= 2) & (share > 0)).select("mark").collect() if features else []
+    return features, w, b, sorted(r["mark"][1:] for r in known)
+
+
+def cover(names: list[str], begin: np.ndarray, docs: np.ndarray, y: np.ndarray, ratio: float, least: float) -> list[int]:
+    """Greedy cover of the positives, negatives against: numbers of marks, whose rows are docs[begin[m]:begin[m + 1]], until
+    none gains `least` more."""
+    chosen: list[int] = []
+    if not names:
+        return chosen
+    against = ratio * np.add.reduceat(1 - y[docs], begin[:-1])
+    open_rows = y.copy()
+    while True:
+        gain = np.add.reduceat(open_rows[docs], begin[:-1]) - against
+        gain[chosen] = -np.inf
+        best = gain.max()
+        if best < least:
+            return chosen
+        mark = max(np.flatnonzero(gain == best).tolist(), key=lambda m: (names[m][0] == "^", len(names[m]), names[m]))
+        chosen.append(mark)
+        open_rows[docs[begin[mark] : begin[mark + 1]]] = 0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
@@ -320,35 +364,42 @@ def held_out(col: str) -> F.Column:
 class Scorer:
     """Scores texts; each token's restored form and features are memoised."""
 
-    def __init__(self, model: np.ndarray, features: list[str], weights: np.ndarray, bias: float):
+    def __init__(self, model: np.ndarray, features: list[str], weights: np.ndarray, bias: float, known_words: list[str] = ()):
         self.model, self.weights, self.bias = model, weights, bias
         self.place = {mark: k for k, mark in enumerate(features)}
         self.heads = {mark[1:5] for mark in features}  # no other beginning of a word has a feature
+        self.longest = max([len(mark) - 1 for mark in features], default=1)
+        self.fragments = Fragments(model, {*known_words, *(mark[1:] for mark in features if mark[0] == "=")})
         self.known = common.Memo(self.look, CACHE, 48)
 
     def look(self, token: str) -> tuple:
         """() for a token without features that stays as it is, else (restored token, its features)."""
         out = restored_token(token, self.model)
-        known = {w for w in words(f"{out} {other_words(token, self.model)}") if w.decode(errors="replace")[:4] in self.heads}
+        known = {w for w in words(f"{out} {other_words(token, self.model, self.longest)}") if w.decode(errors="replace")[:4] in self.heads}
         own = tuple(sorted(k for m in marks(known) if (k := self.place.get(m)) is not None)) if known else ()
         return (out, own) if own or out != token else ()
 
-    def score(self, text: str | None) -> tuple[float, tuple, int]:
-        """(probability, tokens with what is known of them, number of decoded tokens)."""
+    def score(self, text: str | None) -> tuple[float, list[str], int]:
+        """(probability, restored tokens, number of tokens that aren't as they were)."""
         others: list[str] = []
-        own = tokens(text or "", self.model, others)
+        own = tokens(text or "", self.model, others, self.longest)
         seen = list(map(self.known.__getitem__, own))
-        found = [(t, x) for t, x in zip(own, seen) if x] if any(seen) else []
-        total = self.bias + sum(self.weights[k] for k in sorted({k for x in [*(x for _, x in found), *map(self.known.__getitem__, set(others))] if x for k in x[1]}))
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, total)))), (own, seen), sum(t != x[0] for t, x in found)
-
-    @staticmethod
-    def text(parts: tuple) -> str:
-        return " ".join(x[0] if x else t for t, x in zip(*parts))
+        found = [x for x in seen if x] if any(seen) else []
+        said = [x[0] if x else t for t, x in zip(own, seen)] if found else own
+        joined = self.fragments.find(said)
+        for _, _, word in joined:
+            found.append(self.known[word])
+        total = self.bias + sum(self.weights[k] for k in sorted({k for x in [*found, *map(self.known.__getitem__, set(others))] if x for k in x[1]}))
+        changed = sum(a != b for a, b in zip(own, said)) + len(joined)
+        if joined:
+            said = list(said)
+            for first, stop, word in reversed(joined):
+                said[first:stop] = [word]
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, total)))), said, changed
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS):
-    """Everything a scorer needs: (language model, features, weights, bias)."""
+    """Everything a scorer needs: (language model, features, weights, bias, words)."""
     spark = docs.sparkSession
     model = language_model(docs)
     sent = spark.sparkContext.broadcast(model)  # SIZE**3 numbers
@@ -373,7 +424,7 @@ def score(docs: DataFrame, learned, text_col: str = "text", restored: bool = Fal
             got = [scorer.score(t) for t in batch.column(at).to_pylist()]
             cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64())]
             if restored:
-                cols.append(pa.array([scorer.text(g[1]) for g in got], pa.string()))
+                cols.append(pa.array([" ".join(g[1]) for g in got], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*names, "score", "n_restored", *["restored"] * restored])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -3,6 +3,7 @@
 import base64
 import datetime
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -301,6 +302,48 @@ def test_restoring_every_form():
     assert {"=a$$", "=letter"} & toxicity.text_marks("letter", model) == {"=letter"}
 
 
+def test_decoding_is_the_best_of_all_readings():
+    """Viterbi against every reading of short stretches."""
+    model, pick = spoken(), random.Random(12)
+    table = toxicity.symbol_table()
+    for _ in range(60):
+        token = "".join(pick.choice("abemor0135$@!.- ") * pick.choice([1, 1, 1, 2, 4]) for _ in range(pick.randint(1, 6)))[:9]
+        spaced = len(token) > 2 and token[1] in toxicity.SEPARATORS
+        parts = toxicity.runs(token)
+        doubled = len(parts) > 2 and all(n > 1 for _, n in parts)
+        readings = {}
+        for said in itertools.product(*(toxicity.choices(ch, n, spaced, doubled, toxicity.COST_SPLIT) for ch, n in parts)):
+            letters, z = "".join(x for x, _ in said), [0, 0]
+            z += [int(table[ord(c)]) for c in letters] + [0]
+            value = sum(float(model[a, b, c]) for a, b, c in zip(z, z[1:], z[2:])) - sum(c for _, c in said)
+            readings[letters] = max(value, readings.get(letters, -1e9))
+        got = toxicity.viterbi(token, model)
+        assert readings[got] > max(readings.values()) - 1e-6, (token, got)
+
+
+def test_fragments_are_joined():
+    model = spoken()
+    scorer = toxicity.Scorer(model, ["^moron", "=idiot"], np.array([5.0, 5.0]), -3.0, ["moron", "morons"])
+    for said, meant in (("you mo ron", "you moron"), ("m or on, you", "moron you"), ("an i di ot!", "an idiot"), ("m0 r0n", "moron"), ("the mor ning river", "the mor ning river")):
+        p, tokens, _ = scorer.score(said)
+        assert " ".join(tokens) == meant and (p > 0.5) == (meant != said), said
+    assert scorer.score("mo river ron")[0] < 0.5 and scorer.score("")[0] < 0.5
+
+
+def test_padded_and_long_forms_count():
+    scorer = toxicity.Scorer(spoken(), ["^moron"], np.array([5.0]), -3.0)
+    for said in ("m0r0n" + "n" * 500, "-".join("moron" + "river" * 20), " ".join("river" * 300 + "moron"), "m" + "0" * 5000 + "r0n", "~".join("m0r0n")):
+        assert scorer.score(said)[0] > 0.5, said[:40]
+
+
+def test_learning_handles_repeated_ids(spark):
+    docs, labels = corpus(300)
+    df = spark.createDataFrame(docs + [(i, "zzz " + t) for i, t in docs[:40]] + [(7, None), (7, "")], "doc_id long, text string")
+    lab = spark.createDataFrame(labels * 2, "doc_id long, toxic int")
+    one, two = toxicity.learn(df, lab), toxicity.learn(df.repartition(7), lab)
+    assert one[1] == two[1] and np.allclose(one[2], two[2]) and one[3] == pytest.approx(two[3]) and one[4] == two[4]
+
+
 # ---- PII ----
 
 
