@@ -79,7 +79,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL can't express the toxicity model or the Feistel network: tests hold run() against a brute-force version.
+#: SQL can't express the toxicity model or the Feistel network: test_run_equals_brute_force holds run() against plain versions.
 ORACLE_SQL = None
 
 
