@@ -151,6 +151,7 @@ SETTLED = re.compile("[\0-\u024f\u2010-\u2027]*")
 #: Byte to character, as byte-level vocabularies spell it: printable Latin-1 stays, the rest follows from U+0100 on.
 SPELLED = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else 0 for b in range(256)}
 SPELLED |= {b: 256 + k for k, b in enumerate(b for b in range(256) if not SPELLED[b])}
+SPACE = chr(SPELLED[32])
 
 
 class ChunkEncoder:
@@ -179,7 +180,7 @@ class ChunkEncoder:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
 
     def merged(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(SPELLED)
+        spelled = SPACE + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isprintable() else piece.encode().decode("latin-1").translate(SPELLED)
         return array("H", [t.id for t in self.merge(spelled)]).tobytes()
 
     def learn(self, new: list[str]) -> list[bytes]:
@@ -249,8 +250,7 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, np.uint16), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=vocabulary)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["t", "n"])
 
