@@ -266,6 +266,7 @@ def by_windows(each: DataFrame, size: int, gram: int) -> DataFrame:
     whole = kinds.where("times > 1").select(*at, "block", F.array(F.struct(F.lit(0).alias("a"), F.length("bytes").alias("b"))).alias("spans"))
     window = F.substring("bytes", F.col("i") + 1, F.lit(size))
     windows = kinds.where("kinds > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.length("bytes") - size))).select(*at, "block", "times", "i", F.xxhash64(window).alias("hash"))
+    windows = common.spool(windows, "windows")  # read twice
     # Two windows of each hash are a lane: the array says whether they are equal.
     dealt = windows.groupBy(*at, "hash").agg(F.count("*").alias("n"), F.min(F.struct("block", "i")).alias("low"), F.max(F.struct("block", "i")).alias("high")).where("n > 1")
     dealt = common.spool(dealt.withColumn("lane", F.xxhash64(*at, "hash")), "window-lanes")
