@@ -15,7 +15,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import MASK, canonical, fnv1, fnv1a
 from .sketches import BloomShape, Cuckoo, Xor
@@ -41,6 +41,7 @@ DOTTED = {"MAP": "MAP", "SLICE": "SLICE", "SET": "SET", "PQ": "PQ", "BF": "BF",
 VERBS = {("CMS", "ADD"): "INCRCMS", ("CMS", "EST"): "ESTCMS", ("HLL", "COUNT"): "COUNTHLL"}
 MOST_BATCH = 4096
 INT32 = range(-(1 << 31), 1 << 31)
+INT64 = range(-(1 << 63), 1 << 63)
 
 
 def normal(command: str) -> str:
@@ -787,7 +788,7 @@ class Store:
     def do_createfw(self, key, c):
         n = whole(c.get("value"), "size must be 1 to 1048576", range(1, (1 << 20) + 1))
         self.drop(key)
-        self.put(key, "fenwick_tree", {"cells": [0] * n, "updates": 0})
+        self.put(key, "fenwick_tree", {"cells": [0] * n, "tree": [0] * (n + 1), "total": 0, "updates": 0})
         return "created fenwick tree", None
 
     def place(self, text, own: dict | None) -> int | None:
@@ -796,12 +797,29 @@ class Store:
 
     def do_addfw(self, key, c):
         own = self.have(key, "fenwick_tree")
-        at, delta = self.place(c.get("subkey"), own), whole(c.get("value"), "delta must be a 64-bit integer", range(-(1 << 63), 1 << 63))
+        at, delta = self.place(c.get("subkey"), own), whole(c.get("value"), "delta must be a 64-bit integer", INT64)
         if at is None:
             raise Refused("fenwick tree update is out of range or overflows")
+        nodes, k = [], at + 1
+        while k < len(own["tree"]):
+            nodes.append(k)
+            k += k & -k
+        if any(v + delta not in INT64 for v in (own["cells"][at], own["total"], *(own["tree"][k] for k in nodes))):
+            raise Refused("fenwick tree update is out of range or overflows")
+        for k in nodes:
+            own["tree"][k] += delta
         own["cells"][at] += delta
+        own["total"] += delta
         own["updates"] += 1
-        return "updated fenwick tree", {"index": at, "delta": delta, "value": own["cells"][at], "prefix_sum": sum(own["cells"][: at + 1]), "total": sum(own["cells"]), "updates": own["updates"]}
+        return "updated fenwick tree", {"index": at, "delta": delta, "value": own["cells"][at], "prefix_sum": self.prefix(own, at), "total": own["total"], "updates": own["updates"]}
+
+    def prefix(self, own: dict, at: int) -> int:
+        """Sum of the cells up to `at`, by the tree."""
+        out, k = 0, at + 1
+        while k:
+            out += own["tree"][k]
+            k -= k & -k
+        return out
 
     def do_getfw(self, key, c):
         own = self.have(key, "fenwick_tree")
@@ -811,16 +829,16 @@ class Store:
     def do_sumfw(self, key, c):
         own = self.have(key, "fenwick_tree")
         at = self.place(c.get("subkey") or c.get("value"), own)
-        return self.found(None if at is None else str(sum(own["cells"][: at + 1])))
+        return self.found(None if at is None else str(self.prefix(own, at)))
 
     def do_rangefw(self, key, c):
         own = self.have(key, "fenwick_tree")
         a, b = self.place(c.get("subkey"), own), self.place(c.get("value"), own)
-        return self.found(None if a is None or b is None or a > b else str(sum(own["cells"][a : b + 1])))
+        return self.found(None if a is None or b is None or a > b else str(self.prefix(own, b) - (self.prefix(own, a - 1) if a else 0)))
 
     def do_infofw(self, key, c):
         own = self.have(key, "fenwick_tree")
-        return self.found(None if own is None else {"size": len(own["cells"]), "updates": own["updates"], "total": sum(own["cells"]), "tree_bytes": 8 * (len(own["cells"]) + 1)})
+        return self.found(None if own is None else {"size": len(own["cells"]), "updates": own["updates"], "total": own["total"], "tree_bytes": 8 * (len(own["cells"]) + 1)})
 
 
 def _bitmap_commands() -> None:
@@ -835,26 +853,53 @@ COMMANDS = sorted(x[3:].upper() for x in dir(Store) if x.startswith("do_")) + ["
 LOG = "seq long, command string, key string, subkey string, value string, values array<string>, pairs map<string,string>, ttl_seconds double, unix_seconds double, priority long"
 
 
+#: White space at the ends of keys, as `run` strips it.
+ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def apply_log(log: DataFrame, now: float | None = None) -> DataFrame:
     """Rows (seq, ok, message, value), a response for each command of the log (columns as in LOG).
 
-    Keys run in parallel, each in order of seq; `now` fixes the clock. A key's commands are one task's work: logs with
-    hot keys of commutative commands belong to the aggregations in operators.sets and operators.sketches.
+    Keys run in parallel, each in order of seq; `now` fixes the clock. Spellings of a key that differ in white space at the
+    ends are one key. A key's commands are one task's work: logs with hot keys of commutative commands belong to the
+    aggregations in operators.sets and operators.sketches.
+
+    A log with a column `batch` (array of structs of LOG's fields without seq) can hold BATCH commands: theirs run at the
+    batch's place in each key's order, without a transaction; `value` is then the JSON array of their responses.
     """
     at = time.time() if now is None else now
+    names = [c.split()[0] for c in LOG.split(", ")]
+    fields = [n for n in names if n != "seq"]
+    if "batch" not in log.columns:
+        return folded(log.select(*names, F.lit(0).alias("part")), at).select("seq", "ok", "message", "value")
+    is_batch = F.coalesce(F.upper(F.regexp_replace("command", ENDS, "")) == "BATCH", F.lit(False))
+    single = folded(log.where(~is_batch).select(*names, F.lit(-1).alias("part")), at, log.where(is_batch).select("seq", F.posexplode("batch").alias("part", "c")).select("seq", *(F.col(f"c.{n}").alias(n) for n in fields), "part"), names)
+    fits = F.coalesce(F.size("batch"), F.lit(0)).between(1, MOST_BATCH)
+    wrong = log.where(is_batch & ~fits).select("seq", F.lit(False).alias("ok"), F.lit(f"batch must have 1 to {MOST_BATCH} commands").alias("message"), F.lit(None).cast("string").alias("value"))
+    allowed = log.where(is_batch & fits).select("seq")
+    parts = single.where("part >= 0").join(allowed, "seq", "left_semi").groupBy("seq").agg(F.min("ok").alias("ok"), F.lit("batch executed").alias("message"), F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("part", "ok", "message", "value"))), lambda r: F.struct(r["ok"].alias("ok"), r["message"].alias("message"), r["value"].alias("value")))).alias("value"))
+    return single.where("part < 0").select("seq", "ok", "message", "value").union(parts.select("seq", "ok", "message", "value")).union(wrong)
+
+
+def folded(log: DataFrame, at: float, more: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+    """Responses (seq, part, ok, message, value) of commands, key by key in order of (seq, part)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         store = Store(lambda: at)
         out = []
-        for r in rows.sort_values("seq").to_dict("records"):
+        for r in rows.sort_values(["seq", "part"]).to_dict("records"):
             c = {k: v for k, v in r.items() if not (v is None or isinstance(v, float) and math.isnan(v))}
             c["values"] = list(c["values"]) if c.get("values") is not None else None
             c["pairs"] = dict(c["pairs"]) if c.get("pairs") is not None else None
-            got = store.run(c)
-            out.append((r["seq"], got["ok"], got["message"], got["value"]))
-        return pd.DataFrame(out, columns=["seq", "ok", "message", "value"])
-
-    return log.groupBy("key").applyInPandas(run, "seq long, ok boolean, message string, value string")
+            got = {"ok": False, "message": "nested batch", "value": None} if r["part"] >= 0 and normal(c.get("command")) == "BATCH" else store.run(c)
+            out.append((r["seq"], r["part"], got["ok"], got["message"], got["value"]))
+        return pd.DataFrame(out, columns=["seq", "part", "ok", "message", "value"])
+
+    if more is not None:
+        columns = [*names, "part"]
+        log = log.select(*columns).unionByName(more.select(*columns))
+    # Pandas would make doubles of nullable longs: priorities go as text.
+    return log.withColumn("priority", F.col("priority").cast("string")).groupBy(F.regexp_replace("key", ENDS, "").alias("_key")).applyInPandas(run, "seq long, part int, ok boolean, message string, value string")
 
 
 __all__ = ["COMMANDS", "LOG", "Store", "apply_log", "canonical", "normal"]

@@ -49,10 +49,10 @@ def bloom_info(bits: DataFrame, shape: BloomShape, by: list[str] = ()) -> DataFr
 
 
 def cms_build(items: DataFrame, item: Column, width: int = 2048, depth: int = 4, count: Column | None = None, by: list[str] = ()) -> DataFrame:
-    """Rows (by.., row, col, n) of the counters, saturating at 2**32 - 1. Equal items are summed before they are hashed."""
+    """Rows (by.., row, col, n) of the counters, saturating at 2**32 - 1. Items are hashed where they are read: only counters are shuffled."""
     at = places(depth, width)
-    each = items.groupBy(*by, item.alias("_item")).agg(F.sum(F.lit(1) if count is None else count).alias("_n"))
-    cells = each.withColumn("_h", item_hash("_item")).select(*by, "_n", F.posexplode(at("_h.a", "_h.b")).alias("row", "col"))
+    each = items.select(*by, (F.lit(1) if count is None else count).cast("long").alias("_n"), item_hash(item).alias("_h"))
+    cells = each.select(*by, "_n", F.posexplode(at("_h.a", "_h.b")).alias("row", "col"))
     return cells.groupBy(*by, "row", "col").agg(F.least(F.sum("_n"), F.lit((1 << 32) - 1)).alias("n"))
 
 
@@ -80,7 +80,7 @@ def hll_build(items: DataFrame, item: Column, precision: int = 14, by: list[str]
         bits += left.astype(np.int64)
         return pd.DataFrame({"register": (h & np.uint64((1 << precision) - 1)).astype(np.int32), "rank": (width - bits + 1).astype(np.int32)})
 
-    seen = items.select(*by, item.alias("_item")).distinct().select(*by, observe(item_hash("_item")["a"]).alias("o"))
+    seen = items.select(*by, observe(item_hash(item)["a"]).alias("o"))  # only registers are shuffled
     return seen.groupBy(*by, F.col("o.register").alias("register")).agg(F.max("o.rank").alias("rank"))
 
 

@@ -16,8 +16,7 @@ from .tree import OFFSETS, RANKINGS, Cte, Expr, Item, Join, Query, Sort, Source,
 
 @dataclass
 class Options:
-    """parity: NOT NULL is TRUE, as two-valued logic has it. ordered: unsorted results follow the sources' order where a
-    source has one. The limits fail a query that exceeds them; None is no limit."""
+    """parity: NOT NULL is TRUE, as two-valued logic has it. The limits fail a query that exceeds them; None is no limit."""
 
     parity: bool = False
     max_source_rows: int | None = None
@@ -72,7 +71,7 @@ class Lowering:
 
     def combine(self, op: str, left: DataFrame, right: DataFrame) -> DataFrame:
         if [c.upper() for c in left.columns] != [c.upper() for c in right.columns]:
-            raise self.fault(f"{op} requires matching columns: {', '.join(left.columns)} and {', '.join(right.columns)}")
+            raise self.fault(f"the sides of {op} differ in columns: {', '.join(left.columns)} and {', '.join(right.columns)}")
         left, right = self.unify(left, right.toDF(*left.columns))
         return {"UNION ALL": left.union, "UNION": lambda r: left.union(r).distinct(), "INTERSECT": left.intersect, "EXCEPT": left.subtract}[op](right)
 
@@ -237,6 +236,7 @@ class Lowering:
         keys = [(f"g{i}", e, self.value(e, scope)) for i, e in enumerate(q.group)]
         wanted: dict[Expr, tuple[str, Column, str]] = {}
         taken = {e for _, e, _ in keys}
+        ordinal: list[bool] = []
 
         def visit(e: Expr) -> None:
             if e in taken or e in wanted:
@@ -250,7 +250,8 @@ class Lowering:
                     same = next((k for _, k, v in keys if k.op == "col" and scope.find(k.table, k.value) == scope.find(e.table, e.value)), None)
                     if same is not None:
                         return
-                    wanted[e] = (f"a{len(wanted)}", F.first(found.col), found.kind)
+                    wanted[e] = (f"a{len(wanted)}", F.min_by(found.col, F.col("_ordinal")), found.kind)
+                    ordinal.append(True)
             else:
                 for a in (*e.args, *((*e.over.partition, *(s.expr for s in e.over.order)) if e.over else ())):
                     visit(a)
@@ -260,7 +261,9 @@ class Lowering:
             if e.op == "star":
                 raise self.fault("SELECT * can't be grouped", e.at)
             visit(e)
-        frame = scope.frame.groupBy(*(v.col.alias(n) for n, _, v in keys)) if keys else scope.frame.groupBy()
+        # An ungrouped column has its value in the group's first row, in the order of partitions and of rows in them.
+        frame = scope.frame.withColumn("_ordinal", F.monotonically_increasing_id()) if ordinal else scope.frame
+        frame = frame.groupBy(*(v.col.alias(n) for n, _, v in keys))
         aggregates = [c.alias(n) for n, c, _ in wanted.values()] or [F.count("*").alias("a_none")]
         out = Scope(frame.agg(*aggregates), scope.sources)
         out.keys = {e: Typed(F.col(n), v.kind) for n, e, v in keys} | {e: Typed(F.col(n), k) for e, (n, _, k) in wanted.items()}
@@ -317,7 +320,7 @@ class Lowering:
             if is_aggregate(e):
                 raise self.fault(f"{e.value} isn't allowed here", e.at)
             if e.value in RANKINGS + OFFSETS:
-                raise self.fault(f"{e.value} requires OVER", e.at)
+                raise self.fault(f"{e.value} without OVER", e.at)
             f = self.functions.get(e.value)
             if f is None:
                 raise self.fault(f"unknown SQL function {e.value}", e.at)

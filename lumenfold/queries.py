@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -38,7 +39,6 @@ LINE = "l_orderkey, l_linenumber"
 
 #: name -> (engine SQL, the same rows in plain SQL)
 SQL: dict[str, tuple[str, str]] = {
-    "flagship": (FLAGSHIP.replace("SUM(o.o_totalprice)", "SUM(o.o_custkey)"), "SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(o_custkey) AS DOUBLE) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1"),
     "scan_project_filter": (f"FROM CACHE('lineitem') AS l WHERE l_quantity >= 25 AND l_discount < 0.05 SELECT {LINE}, l_extendedprice * (1 - l_discount) AS net", f"SELECT {LINE}, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity >= 25 AND l_discount < 0.05"),
     "filter_3vl_like": ("FROM CACHE('part') AS p WHERE (p_name LIKE '%a%' OR p_size > 40) AND NOT p_brand LIKE '%1%' AND p_type IS NOT NULL SELECT p_partkey, p_name", "SELECT p_partkey, p_name FROM part WHERE (p_name LIKE '%a%' OR p_size > 40) AND NOT p_brand LIKE '%1%' AND p_type IS NOT NULL"),
     "int_div_mod_null": (f"FROM CACHE('lineitem') AS l SELECT {LINE}, l_orderkey / l_linenumber AS q, l_orderkey % l_linenumber AS r, l_orderkey / (l_linenumber - 1) AS z", f"SELECT {LINE}, l_orderkey // l_linenumber AS q, l_orderkey % l_linenumber AS r, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_orderkey // (l_linenumber - 1) END AS z FROM lineitem"),
@@ -87,6 +87,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).sql(FLAGSHIP)
 
 
+def flagship_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with its money to cents: sums of doubles depend on their order in the last digits."""
+    return flagship(spark, sf_dir).withColumn("total", F.round("total", 2))
+
+
 def from_sql(text: str) -> Query:
     return lambda spark, sf_dir: Tables(spark, sf_dir).sql(text)
 
@@ -114,7 +119,7 @@ def page_second(spark, sf_dir):
 
 
 def explain_steps(spark, sf_dir):
-    return Tables(spark, sf_dir).sql("EXPLAIN " + FLAGSHIP)
+    return Tables(spark, sf_dir).sql("EXPLAIN " + FLAGSHIP).select("node", "detail")
 
 
 def keys_catalog(spark, sf_dir):
@@ -130,16 +135,26 @@ def text_item(name: str):
 def bloom_no_false_negative(spark, sf_dir):
     parts, shape = table(spark, sf_dir, "part"), sketches.BloomShape.of(10_000, 0.01)
     bits = sketches.bloom_build(parts, text_item("p_name"), shape)
-    probed = sketches.bloom_probe(parts.select("p_name"), text_item("p_name"), bits, shape)
-    return probed.agg(F.count_if(~F.col("member")).alias("missed"), F.count("*").alias("asked"))
+    return asked_of(lambda asked: sketches.bloom_probe(asked, text_item("p_name"), bits, shape), parts, 0.05)
+
+
+def asked_of(probe, parts, most: float) -> DataFrame:
+    """A filter asked for every part's name, and for as many names that no part has: members missed, members asked, and
+    whether at most a share `most` of the others pass."""
+    own = parts.select("p_name", F.lit(1).alias("own"))
+    others = parts.select(F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("p_name"), F.lit(0).alias("own"))
+    probed = probe(own.union(others))
+    if "own" not in probed.columns:  # one row for each different item
+        probed = probed.withColumn("own", F.when(F.col("item").contains(" #"), 0).otherwise(1))
+    few = F.count_if(F.col("member") & (F.col("own") == 0)) <= most * F.count_if(F.col("own") == 0) + 3
+    return probed.agg(F.count_if(~F.col("member") & (F.col("own") == 1)).alias("missed"), F.count_if(F.col("own") == 1).alias("asked"), few.alias("few_others"))
 
 
 def filter_no_false_negative(kind: str) -> Query:
     def run(spark, sf_dir):
-        parts = table(spark, sf_dir, "part").select(F.col("p_name"))
+        parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
         shards = sketches.shards_for(parts.count())
-        found = sketches.probe_sharded(parts, text_item("p_name"), parts, text_item("p_name"), kind, shards)
-        return found.agg(F.count_if(~F.col("member")).alias("missed"), F.count("*").alias("asked"))
+        return asked_of(lambda asked: sketches.probe_sharded(parts, text_item("p_name"), asked, text_item("p_name"), kind, shards), parts, 0.05)
 
     return run
 
@@ -150,7 +165,8 @@ def cms_upper_bound(spark, sf_dir):
     cells = sketches.cms_build(events, item)
     true = events.groupBy(item.alias("item")).agg(F.count("*").alias("n"))
     both = sketches.cms_estimate(events, item, cells).join(true, "item")
-    return both.agg(F.count_if(F.col("estimate") < F.col("n")).alias("under"), F.count("*").alias("items"))
+    over = F.count_if(F.col("estimate") > F.col("n") + math.e / 2048 * F.lit(events.count())) <= 0.05 * F.count("*")
+    return both.agg(F.count_if(F.col("estimate") < F.col("n")).alias("under"), F.count("*").alias("items"), over.alias("seldom_far_over"))
 
 
 def hll_within_error(spark, sf_dir):
@@ -163,7 +179,10 @@ def hll_within_error(spark, sf_dir):
 def quantile_within_error(spark, sf_dir):
     lines, at = table(spark, sf_dir, "lineitem"), [0.0, 0.25, 0.5, 0.9, 1.0]
     got = sketches.quantiles(lines, F.col("l_extendedprice"), at)
-    below = F.broadcast(got).join(lines.select("l_extendedprice"), F.lit(True)).groupBy("quantile").agg(F.count_if(F.col("l_extendedprice") < F.col("value")).alias("under"), F.count_if(F.col("l_extendedprice") <= F.col("value")).alias("upto"), F.count("*").alias("n"))
+    points = [(r["quantile"], r["value"]) for r in got.collect()]  # a row for each of `at`
+    price = F.col("l_extendedprice")
+    counted = F.array(*(F.struct(F.lit(q).alias("quantile"), F.count_if(price < v).alias("under"), F.count_if(price <= v).alias("upto"), F.count("*").alias("n")) for q, v in points))
+    below = lines.agg(counted.alias("c")).select(F.explode("c").alias("c")).select("c.*")
     room = 0.01 * F.col("n") + 1
     return below.select("quantile", ((F.col("under") - room <= F.col("quantile") * F.col("n")) & (F.col("upto") + room >= F.col("quantile") * F.col("n"))).alias("close"))
 
@@ -175,7 +194,10 @@ def topk_heavy_hitters(spark, sf_dir):
 def reservoir_size(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     sample = sketches.reservoir(events, item_json(F.col("user_id"), "int"), "event_id", 128)
-    return sample.join(events, F.col("sequence") == F.col("event_id")).agg(F.count("*").alias("size"), F.count_distinct("sequence").alias("distinct_rows"))
+    again = sketches.reservoir(events.repartition(5), item_json(F.col("user_id"), "int"), "event_id", 128).select(F.col("sequence").alias("other"))
+    spread = F.avg(F.when(F.col("sequence") <= events.agg(F.percentile_approx("event_id", 0.5)).first()[0], 1.0).otherwise(0.0)).between(0.25, 0.75)
+    found = sample.join(events, F.col("sequence") == F.col("event_id")).join(again, F.col("sequence") == F.col("other"), "left")
+    return found.agg(F.count("*").alias("size"), F.count_distinct("sequence").alias("distinct_rows"), F.count("other").alias("same_if_dealt_anew"), spread.alias("spread"))
 
 
 def bitmap_set_ops(spark, sf_dir):
@@ -229,7 +251,7 @@ def ttl_live(spark, sf_dir):
 
 
 def command_batch_fold(spark, sf_dir):
-    """Each user's events as a command log: a counter up by one, a set of types, and the reads at the end."""
+    """Each user's events as a command log: a counter up by one for each, and the reads at the end."""
     events = table(spark, sf_dir, "events")
     names = [c.split()[0] for c in keyed.LOG.split(", ")]
     types = dict(c.split() for c in keyed.LOG.split(", "))
@@ -243,20 +265,57 @@ def command_batch_fold(spark, sf_dir):
     return keyed.apply_log(writes.union(reads), now=0.0).where(F.col("seq") >= 1 << 40).select((F.col("seq") - (1 << 40)).alias("user_id"), F.col("value").alias("n"))
 
 
+STEPS = [("SCAN", 'CACHE("orders") AS o'), ("JOIN", 'LEFT JOIN CACHE("customer") AS c ON (o.o_custkey = c.c_custkey)'), ("FILTER", "(o.o_totalprice > 1000)"), ("AGGREGATE", "c.c_mktsegment"), ("HAVING", "(COUNT(*) > 0)"), ("PROJECT", "c.c_mktsegment AS segment, COUNT(*) AS n, SUM(o.o_totalprice) AS total"), ("SORT", "total DESC, segment ASC")]
+
+
+def command_families(spark, sf_dir):
+    """A command log with writes and a read of each family, folded key by key."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("r"))
+    text = lambda c: c.cast("string")
+    name, r = F.col("name"), F.col("r")
+    steps = [  # family, command, fields
+        ("string", "SET", {"value": name}), ("string", "GET", {}), ("counter", "SETINT", {"value": text(r)}), ("counter", "INC", {"value": F.lit("5")}), ("counter", "GET", {}),
+        ("map", "PUTMAP", {"subkey": F.lit("a"), "value": name}), ("map", "PEEKMAP", {"subkey": F.lit("a")}), ("slice", "PUSHSLICE", {"values": F.array(name, text(r))}), ("slice", "POPSLICE", {}), ("slice", "HEADSLICE", {}),
+        ("set", "ADDSET", {"values": F.array(name, name, text(r))}), ("set", "HASSET", {"value": name}), ("set", "REMSET", {"value": F.lit("none")}), ("queue", "PUSHPQ", {"priority": r + F.lit((1 << 53) + 1), "value": name}), ("queue", "PUSHPQ", {"priority": F.lit(1 << 60), "value": F.lit("last")}), ("queue", "POPPQ", {}),
+        ("tree", "CREATEFW", {"value": F.lit("16")}), ("tree", "ADDFW", {"subkey": text(r), "value": F.lit("7")}), ("tree", "SUMFW", {"subkey": F.lit("2")}), ("tree", "RANGEFW", {"subkey": F.lit("1"), "value": F.lit("9")}),
+        ("bits", "CREATERB", {}), ("bits", "ADDRB", {"values": F.array(text(r), F.lit("70000"))}), ("bits", "COUNTRB", {}), ("bits", "HASRB", {"value": F.lit("3")}), ("radix", "CREATERT", {}), ("radix", "PUTRT", {"subkey": name, "value": F.lit("x")}), ("radix", "HASRT", {"subkey": F.lit("CHINA")}),
+        ("bloom", "CREATEBF", {}), ("bloom", "ADDBF", {"value": name}), ("bloom", "HASBF", {"value": name}), ("cuckoo", "CREATECF", {}), ("cuckoo", "ADDCF", {"value": name}), ("cuckoo", "HASCF", {"value": name}), ("count", "CREATECMS", {}), ("count", "INCRCMS", {"subkey": name, "value": F.lit("3")}), ("string", "DEL", {}), ("string", "EXISTS", {}),
+    ]
+    types = dict(c.split() for c in keyed.LOG.split(", "))
+    log = None
+    for i, (family, command, own) in enumerate(steps):
+        fixed = {"seq": F.col("k") * 1000 + i, "command": F.lit(command), "key": F.concat(F.lit(" " * (i % 2) + family + ":"), text(F.col("k")))}
+        rows = nations.select(*((fixed | own).get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()))
+        log = rows if log is None else log.union(rows)
+    reads = [i for i, (_, c, _) in enumerate(steps) if c in READS]
+    out = keyed.apply_log(log, now=0.0).where((F.col("seq") % 1000).isin(reads))
+    return out.select("seq", "ok", "value")
+
+
+#: Commands whose values the log query returns, with their values in SQL.
+READS = {"GET": None, "PEEKMAP": "n_name", "POPSLICE": "CAST(n_regionkey AS VARCHAR)", "HEADSLICE": "n_name", "HASSET": "'1'", "REMSET": "'0'", "POPPQ": None, "SUMFW": "CASE WHEN n_regionkey <= 2 THEN '7' ELSE '0' END", "RANGEFW": "CASE WHEN n_regionkey BETWEEN 1 AND 9 THEN '7' ELSE '0' END", "COUNTRB": "'2'", "HASRB": "CASE WHEN n_regionkey = 3 THEN '1' ELSE '0' END", "HASRT": "CASE WHEN n_name = 'CHINA' THEN '1' ELSE '0' END", "HASBF": "'1'", "HASCF": "'1'", "EXISTS": "'0'"}
+FAMILIES_SQL = "SELECT CAST(n_nationkey AS BIGINT) * 1000 + i AS seq, TRUE AS ok, v AS value FROM (" + " UNION ALL ".join(
+    f"SELECT n_nationkey, {i} AS i, {sql} AS v FROM nation"
+    for i, sql in [(1, "n_name"), (4, "CAST(n_regionkey + 5 AS VARCHAR)"), (6, READS["PEEKMAP"]), (8, READS["POPSLICE"]), (9, READS["HEADSLICE"]), (11, "'1'"), (12, "'0'"), (15, "'{\"priority\":' || CAST(9007199254740993 + n_regionkey AS VARCHAR) || ',\"value\":\"' || n_name || '\"}'"), (18, READS["SUMFW"]), (19, READS["RANGEFW"]), (22, "'2'"), (23, READS["HASRB"]), (26, READS["HASRT"]), (29, "'1'"), (32, "'1'"), (36, "'0'")]
+) + ")"
+
+
 NATIVE: dict[str, tuple[Query, str | None]] = {
+    "flagship": (flagship_rounded, "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1"),
+    "command_families": (command_families, FAMILIES_SQL),
     "params_bind": (params_bind, "SELECT o_orderkey FROM orders WHERE o_totalprice > 50000 AND o_orderstatus = 'F'"),
     "udf_go_where_select": (udf_go, f"SELECT {LINE}, l_extendedprice * (1 + l_tax) AS g FROM lineitem WHERE l_extendedprice < 20000 AND l_quantity > 10"),
     "page_second": (page_second, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 25"),
-    "explain_steps": (explain_steps, None),
+    "explain_steps": (explain_steps, "SELECT node, detail FROM (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in STEPS) + ") AS t(node, detail)"),
     "keys_catalog": (keys_catalog, f"SELECT key, 'table' AS type, CAST(NULL AS BIGINT) AS ttl_ms, TRUE AS on_disk FROM (VALUES {', '.join(f"('{t}')" for t in TABLES)}) AS t(key)"),
-    "bloom_no_false_neg": (bloom_no_false_negative, "SELECT CAST(0 AS BIGINT) AS missed, count(*) AS asked FROM part"),
-    "cuckoo_no_false_neg": (filter_no_false_negative("cuckoo"), "SELECT CAST(0 AS BIGINT) AS missed, count(DISTINCT p_name) AS asked FROM part"),
-    "xor_no_false_neg": (filter_no_false_negative("xor"), "SELECT CAST(0 AS BIGINT) AS missed, count(DISTINCT p_name) AS asked FROM part"),
-    "cms_upper_bound": (cms_upper_bound, "SELECT CAST(0 AS BIGINT) AS under, count(DISTINCT user_id) AS items FROM events"),
+    "bloom_no_false_neg": (bloom_no_false_negative, "SELECT CAST(0 AS BIGINT) AS missed, count(*) AS asked, TRUE AS few_others FROM part"),
+    "cuckoo_no_false_neg": (filter_no_false_negative("cuckoo"), "SELECT CAST(0 AS BIGINT) AS missed, count(DISTINCT p_name) AS asked, TRUE AS few_others FROM part"),
+    "xor_no_false_neg": (filter_no_false_negative("xor"), "SELECT CAST(0 AS BIGINT) AS missed, count(DISTINCT p_name) AS asked, TRUE AS few_others FROM part"),
+    "cms_upper_bound": (cms_upper_bound, "SELECT CAST(0 AS BIGINT) AS under, count(DISTINCT user_id) AS items, TRUE AS seldom_far_over FROM events"),
     "hll_within_err": (hll_within_error, "SELECT l_returnflag, count(DISTINCT l_partkey) AS n, TRUE AS close FROM lineitem GROUP BY 1"),
     "quantile_within_err": (quantile_within_error, "SELECT CAST(q AS DOUBLE) AS quantile, TRUE AS close FROM (VALUES (0.0), (0.25), (0.5), (0.9), (1.0)) v(q)"),
     "topk_heavy_hitters": (topk_heavy_hitters, "SELECT '\"' || event_type || '\"' AS item, count(*) AS count, CAST(0 AS BIGINT) AS error FROM events GROUP BY 1"),
-    "reservoir_size_and_subset": (reservoir_size, "SELECT CAST(least(128, count(*)) AS BIGINT) AS size, CAST(least(128, count(*)) AS BIGINT) AS distinct_rows FROM events"),
+    "reservoir_size_and_subset": (reservoir_size, "SELECT CAST(least(128, count(*)) AS BIGINT) AS size, CAST(least(128, count(*)) AS BIGINT) AS distinct_rows, CAST(least(128, count(*)) AS BIGINT) AS same_if_dealt_anew, TRUE AS spread FROM events"),
     "bitmap_set_ops": (bitmap_set_ops, "SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus IN ('F', 'O')) AS cardinality, (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS both_sides, (SELECT count(DISTINCT o_custkey // 65536) FROM orders WHERE o_orderstatus = 'F') AS containers"),
     "sparse_bitset_count": (sparse_bitset_count, "SELECT l_returnflag, count(DISTINCT l_orderkey) AS cardinality FROM lineitem GROUP BY 1"),
     "fenwick_prefix_sum": (fenwick_prefix, "SELECT l_partkey, CAST(value AS BIGINT) AS value, CAST(sum(value) OVER (ORDER BY l_partkey) AS BIGINT) AS prefix_sum FROM (SELECT l_partkey, sum(l_linenumber) AS value FROM lineitem GROUP BY 1)"),

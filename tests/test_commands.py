@@ -130,3 +130,29 @@ def test_log_folds_by_key(spark):
     got = {r["seq"]: r["value"] for r in apply_log(df, now=0.0).collect()}
     assert got == {0: "2", 1: None, 2: "3", 3: "3", 4: "x", 5: None}
     assert apply_log(df.limit(0)).count() == 0
+
+
+def test_fenwick_sums_and_overflow(store):
+    run(store, "CREATEFW", key="f", value="1000")
+    for i in range(0, 1000, 7):
+        run(store, "ADDFW", key="f", subkey=str(i), value=str(i))
+    assert run(store, "SUMFW", key="f", subkey="500") == ("ok", str(sum(range(0, 501, 7)))) and run(store, "RANGEFW", key="f", subkey="10", value="20") == ("ok", "14")
+    assert run(store, "ADDFW", key="f", subkey="0", value=str((1 << 63) - 1)) == "fenwick tree update is out of range or overflows"
+    assert run(store, "GETFW", key="f", subkey="0") == ("ok", "0") and run(store, "ADDFW", key="f", subkey="1000", value="1") == "fenwick tree update is out of range or overflows"
+
+
+def test_logs_with_batches_and_spellings(spark):
+    fields = LOG.split(", ")[1:]
+    schema = f"{LOG}, batch array<struct<{', '.join(':'.join(f.split(' ', 1)) for f in fields)}>>"
+    row = lambda seq, command, key, **c: (seq, command, key, c.get("subkey"), c.get("value"), None, None, None, None, c.get("priority"), c.get("batch"))
+    part = lambda command, key, **c: row(0, command, key, **c)[1:10]
+    big = (1 << 53) + 1
+    log = spark.createDataFrame([
+        row(1, "INC", " n"), row(2, "batch", None, batch=[part("INC", "n\t"), part("SET", "s", value="v"), part("BATCH", "n"), part("NOPE", "s")]), row(3, "INC", "n"), row(4, "GET", "s"),
+        row(5, "BATCH", "x", batch=[]), row(6, "PUSHPQ", "q", priority=big, value="a"), row(7, "PUSHPQ", "q", priority=big - 1, value="b"), row(8, "PUSHPQ", "q", value="c"), row(9, "POPPQ", "q"), row(10, "POPPQ", "q"),
+    ], schema)
+    got = {r["seq"]: r for r in apply_log(log, now=0.0).collect()}
+    assert sorted(got) == list(range(1, 11)) and got[3]["value"] == "3" and got[4]["value"] == "v" and not got[5]["ok"] and not got[8]["ok"]
+    assert not got[2]["ok"] and [(x["ok"], x["message"]) for x in json.loads(got[2]["value"])] == [(True, "incremented"), (True, "stored string"), (False, "nested batch"), (False, "unsupported command")]
+    assert [json.loads(got[k]["value"])["priority"] for k in (9, 10)] == [big - 1, big]
+    assert {r["seq"]: r["value"] for r in apply_log(log.drop("batch").where("command <> 'batch' and command <> 'BATCH'"), now=0.0).collect()}[3] == "2"
