@@ -369,7 +369,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, cut = (text or "").encode(), united(found)
                 rest = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in cut)], [*(a for a, _ in cut), len(raw)])) if cut else raw
-                rows.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), [{"a": a, "b": b} for a, b in cut], rest))
+                rows.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), [{"a": a, "b": b} for a, b in cut], rest if kept else None))
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 6 if kept else 4]
