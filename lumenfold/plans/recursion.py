@@ -12,11 +12,16 @@ from .tree import Expr, Item
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; a local folder only where none is set."""
+    """A reliable checkpoint in the shared folder; a local one only for a local master without one (tests)."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenfold-"))
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="lumenfold-")
+        context.setCheckpointDir(root)
     return df.checkpoint()
 
 
