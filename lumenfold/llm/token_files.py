@@ -29,7 +29,9 @@ LIMIT = 18  # longest code, bits
 STEP = 256  # ids between checkpoints
 BLOCK_IDS = 1 << 19
 FILE_IDS = 1 << 26
-CACHE = 500_000  # chunks in one of the memo's two generations, per worker
+GROUP_BYTES = 4 << 20  # text whose chunks are numbered at once
+LONG = 4096  # characters from which the library takes a chunk as it is
+CACHE = 750_000  # chunks in one of the memo's two generations, per worker; a third as many pieces
 END_ID = 2
 
 
@@ -146,7 +148,7 @@ def read_block(source, table) -> tuple[list, np.ndarray, np.ndarray] | None:
 
 #: The pieces of the byte-level pre-tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters whose classes have been the same in all Unicode versions in use; others are cut by the library.
+#: Characters whose classes have been the same in all Unicode versions in use; chunks with others go through the library.
 SETTLED = re.compile("[\0-\u024f\u2010-\u2027]*")
 #: Byte to character, as byte-level vocabularies spell it: printable Latin-1 stays, the rest follows from U+0100 on.
 SPELLED = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else 0 for b in range(256)}
@@ -154,14 +156,37 @@ SPELLED |= {b: 256 + k for k, b in enumerate(b for b in range(256) if not SPELLE
 SPACE = chr(SPELLED[32])
 
 
+#: A chunk that is one piece; one that the texts around it don't change, a single newline or with no white space at an end.
+WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+CLEAN = re.compile(r" ?\S(?:.*\S)?|\n", re.DOTALL)
+#: What a byte is to the cuts: 1 a letter, 2 an ASCII sign, 3 the first byte of two (U+00C0 to U+00FF), 4 a digit, 0 anything else.
+KIND = np.array([0 if not 33 <= b <= 126 else 1 if chr(b).isalpha() else 4 if chr(b).isdigit() else 2 for b in range(256)], np.uint8)
+KIND[0xC3] = 3
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether a chunk begins at each byte of a UTF-8 text: at spaces, at signs that follow a letter, at a newline between
+    two bytes that surely aren't white space, and after it."""
+    kind = KIND[raw]
+    letter = kind == 1
+    letter[1:] |= (kind[:-1] == 3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # two-byte signs: U+00D7, U+00F7
+    out = raw == 32
+    out[1:] |= letter[:-1] & (kind[1:] == 2)
+    line = np.flatnonzero(raw[1:-1] == 10) + 1
+    line = line[((kind[line - 1] > 0) | letter[line - 1]) & (kind[line + 1] > 0)]
+    out[line] = out[line + 1] = True
+    return out
+
+
 class ChunkEncoder:
     """Library encodings of whole texts, assembled from memoised chunks.
 
-    A text is cut before each single space. Byte-level pre-tokenisation always has a boundary before a space that
-    follows a non-space and precedes one, and pieces are merged independently, so the chunks' ids joined are the text's
-    ids. New chunks are cut into the pre-tokenizer's pieces, and new pieces merged by the library's model. Where a cut
-    falls inside a run of white space, or the text has the string of an added token, which the library takes whole, the
-    whole text goes through the library; so does every text if the tokenizer isn't a plain byte-level one.
+    A text is cut before each single space, where a sign follows a letter, and around a single newline. Byte-level
+    pre-tokenisation has a boundary at each such place, looks ahead from a boundary but never back, and merges pieces
+    independently, so the chunks' ids joined are the text's ids. New chunks are cut into the pre-tokenizer's pieces, and
+    new pieces merged by the library's model; those that are long or of unsettled characters are encoded by it. Where a cut falls inside a run of white space, or the text has the string of
+    an added token, which the library takes whole, the whole text goes through the library; so does every text if the
+    tokenizer isn't a plain byte-level one.
     """
 
     def __init__(self, path: str):
@@ -172,9 +197,9 @@ class ChunkEncoder:
         before = kind["pre_tokenizer"] or {}
         self.plain = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and kind["model"]["type"] == "BPE" and kind["post_processor"] is None
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cut, self.merge = self.lib.pre_tokenizer and self.lib.pre_tokenizer.pre_tokenize_str, self.lib.model.tokenize
-        self.pieces = common.Memo(self.merged, CACHE, 48)
-        self.chunks = common.Memo(lambda x: self.learn([x])[0], CACHE, 48)  # without the space before them
+        self.merge = self.lib.model.tokenize
+        self.pieces = common.Memo(self.merged, CACHE // 3, 48)
+        self.chunks = common.Memo(self.learn, CACHE, 48)
 
     def library(self, text: str) -> bytes:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
@@ -183,39 +208,80 @@ class ChunkEncoder:
         spelled = SPACE + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isprintable() else piece.encode().decode("latin-1").translate(SPELLED)
         return array("H", [t.id for t in self.merge(spelled)]).tobytes()
 
-    def learn(self, new: list[str]) -> list[bytes]:
-        """The ids of new chunks (with a space before each). A piece that begins with a space begins a chunk."""
-        text = " " + " ".join(new)
-        if SETTLED.fullmatch(text):
-            found = PIECES.findall(text)
-        else:
-            at = [b for _, (_, b) in self.cut(text)]
-            found = [text[a:b] for a, b in zip([0, *at], at)]
-        ids = list(map(self.pieces.__getitem__, found))
-        begin = [k for k, p in enumerate(found) if p[0] == " "]
-        out = ids if len(begin) == len(ids) else [b"".join(ids[a:b]) for a, b in zip(begin, [*begin[1:], len(ids)])]
-        for x, raw in zip(new, out):
-            self.chunks.keep(x, raw)
-        return out
+    def learn(self, chunk: str) -> bytes:
+        """The ids of a new chunk."""
+        if WORD.fullmatch(chunk):
+            return self.merged(chunk)
+        if len(chunk) > LONG or not SETTLED.fullmatch(chunk):
+            return self.library(chunk)
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk)))
+
+    def known(self, words: list[str], uses: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> list[bytes]:
+        """The ids of distinct chunks; the texts have counts[k] chunks each, numbered in `uses`. Sets `odd` for texts with
+        a chunk that white space around it may change; what only odd texts have isn't learnt, and empty here."""
+        found = list(map(self.chunks.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        old = self.chunks.old
+        bad = [k for k in new if not ((x := words[k]) in old or WORD.fullmatch(x) or CLEAN.fullmatch(x))]
+        if bad or odd.any():
+            owner = np.repeat(np.arange(len(counts)), counts)
+            mark = np.zeros(len(words), bool)
+            mark[bad] = True
+            odd[owner[mark[uses]]] = True
+            wanted = np.zeros(len(words), bool)
+            wanted[uses[~odd[owner]]] = True
+            for k in new:
+                found[k] = b""
+            new = [k for k in new if wanted[k]]
+        for k in new:
+            found[k] = self.chunks[words[k]]
+        return found
+
+    def encode_all(self, texts, end: bytes = b""):
+        """Ids of each text of an Arrow array (null: none), then `end`, as an array of little-endian 16-bit integers.
+        The chunks of all texts are numbered by Arrow, and only distinct ones are looked up."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.string()).fill_null("")
+        n = len(texts)
+        odd = np.full(n, not self.plain)
+        for x in self.added:
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+        found, uses = [], np.zeros(0, np.int32)
+        first = np.zeros(n + 1, np.int64)  # number of chunks before each text
+        if at[-1] > at[0]:
+            raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+            starts = cuts(raw)
+            starts[(at - at[0])[:-1][np.diff(at) > 0]] = True
+            places = np.append(np.flatnonzero(starts), len(raw))
+            first = np.searchsorted(places, at - at[0])
+            chunks = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
+            uses = chunks.indices.to_numpy()
+            size = len(chunks.dictionary)
+            words = pc.binary_join(pa.ListArray.from_arrays([0, size], chunks.dictionary), "\1")[0].as_py().split("\1")
+            found = self.known(words if len(words) == size else chunks.dictionary.to_pylist(), uses, np.diff(first), odd)
+        # A text is its chunks, or a whole from the library in place of the first; then the end.
+        whole = {k: self.library(texts[k].as_py()) for k in np.flatnonzero(odd).tolist()}
+        last, none = len(found), len(found) + 1
+        order = np.full(len(uses) + n, last, np.int64)
+        begin = first + np.arange(n + 1)
+        chunk = np.ones(len(order), bool)
+        chunk[begin[1:] - 1] = False
+        order[chunk] = uses
+        for j, k in enumerate(whole):
+            order[begin[k] : begin[k + 1] - 1] = none
+            order[begin[k] : begin[k + 1] - 1][:1] = none + 1 + j
+        out = pa.array([*found, end, b"", *whole.values()], pa.binary()).take(pa.array(order))
+        marks = np.frombuffer(out.buffers()[1], np.int32)[begin]
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(marks), out.buffers()[2]])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit integers."""
-        if not self.plain or any(x in text for x in self.added):
-            return self.library(text)
-        first, *rest = text.split(" ")
-        known = self.chunks
-        found = list(map(known.get, rest))
-        if None in found:
-            new = {x for x, ids in zip(rest, found) if ids is None}
-            if first != first.rstrip() or any(not x or x != x.strip() for x in new):
-                return self.library(text)
-            old = {x: ids for x in new if (ids := known.old.get(x)) is not None}
-            for x, ids in old.items():
-                known.keep(x, ids)
-            fresh = [x for x in new if x not in old]
-            old.update(zip(fresh, self.learn(fresh) if fresh else ()))
-            found = [old[x] if ids is None else ids for x, ids in zip(rest, found)]
-        return (self.library(first) if first else b"") + b"".join(found)
+        import pyarrow as pa
+
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
 
 
 @lru_cache(2)
@@ -235,9 +301,28 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = encoder(path)
+
+        def coded(held):
+            ids = enc.encode_all(pa.concat_arrays([b.column(1) for b in held]), end)
+            n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)) // 2
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0) for b in held]), pa.array(n, pa.int64()), ids], names=["id", "n", "ids"])
+
+        def parts(batch):
+            if batch.num_rows < 2 or batch.column(1).nbytes <= GROUP_BYTES:
+                return [batch] if batch.num_rows else []
+            half = batch.num_rows // 2
+            return parts(batch.slice(0, half)) + parts(batch.slice(half))
+
+        held, size = [], 0
         for batch in batches:
-            ids = [(enc.encode(t) if t else b"") + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n", "ids"])
+            for part in parts(batch):
+                held.append(part)
+                size += part.column(1).nbytes
+                if size >= GROUP_BYTES:
+                    yield coded(held)
+                    held, size = [], 0
+        if held:
+            yield coded(held)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, ids binary")
 

@@ -98,6 +98,40 @@ def test_pieces_are_cut_as_the_library_cuts(untouched):
             assert enc.encode(t) == untouched(t), (repr(t), hex(ord(c)))
 
 
+def test_groups_equal_whole_texts(untouched):
+    import pyarrow as pa
+
+    enc = token_files.ChunkEncoder(common.tokenizer_path("byte_bpe_50k.json"))
+    pick = random.Random(6)
+    mixed = ["".join(pick.choice("abcdzABZ''sstlé\xdfÀ\xd7\xf7\xa0\u3000\u2026\x01\x1c\x85  \n\n\t.,!(1字") for _ in range(pick.randint(0, 40))) for _ in range(4000)]
+    plain = ["".join(pick.choice("ab'sté\xd7 \n.,1") for _ in range(pick.randint(0, 9))) for _ in range(4000)]
+    texts = TEXTS + mixed + plain + noise() + ["a <|endoftext|>b", None, "\n", "x\n", "\ny", "x.\ny", "x\n y", "x \ny", "don't.\nWe'll,'s"]
+    want = [untouched(t or "") + b"\2\0" for t in texts]
+    for most in (enc.chunks.most, 3):
+        enc.chunks.most = enc.pieces.most = most
+        assert enc.encode_all(pa.array(texts), b"\2\0").to_pylist() == want
+        assert enc.encode_all(pa.array(texts).slice(7, 900), b"\2\0").to_pylist() == want[7:907]
+    enc.plain = False
+    assert enc.encode_all(pa.array(texts[:50]), b"\2\0").to_pylist() == want[:50]
+
+
+def test_distinct_chunks_are_looked_up_once(untouched):
+    class Counted(common.Memo):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    enc = token_files.ChunkEncoder(common.tokenizer_path("byte_bpe_50k.json"))
+    enc.chunks = Counted(enc.chunks.function, enc.chunks.most, enc.chunks.longest)
+    text = "Some words, and some\nmore words. " * 400 + "end"
+    for _ in range(2):
+        Counted.asked = 0
+        assert enc.encode(text) == untouched(text)
+        assert 0 < Counted.asked <= 12
+
+
 def test_length_limited_codes():
     counts = np.zeros(1000, np.int64)
     counts[:40] = [2**min(k, 40) for k in range(40)]
